@@ -29,6 +29,7 @@ from kinweave.runtime import checkpoint
 VIEWS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "cp1254", "cp866")
 #: (table shown, table meant) for one-byte garbling.
 PAIRS = (("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("mac_roman", "cp850"), ("cp850", "mac_roman"))
+EVERYDAY = frozenset("àâäçèéêëìîïòôöùûüßęœæ’—–„“”»«")
 SIGNS = "‡‰¸ˆﬂﬁ³²¹÷¯˘‚„…±¶§´`°ºª¥£¢¬¤¦½¼¾«»∂∑∏π∫Ω√≈∆◊∞≤≥◊µ"
 
 
@@ -117,7 +118,8 @@ def decode_spans(text: str, max_layers: int = 4) -> tuple[str, int]:
         by_view = {v: s for v in VIEWS if (s := _spans(text, v))}
         if not by_view:
             break
-        weight = {v: sum(b - a for a, b, _ in s) for v, s in by_view.items()}
+        # two tables may both read a text; the one that gives more everyday letters is the right one
+        weight = {v: sum(b - a + 0.5 * sum(c in EVERYDAY for c in d) for a, b, d in s) for v, s in by_view.items()}
         taken: list[tuple[int, int, str]] = []
         for v in sorted(by_view, key=lambda v: (-weight[v], VIEWS.index(v))):
             taken += [s for s in by_view[v] if all(s[1] <= x[0] or s[0] >= x[1] for x in taken)]

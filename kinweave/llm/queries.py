@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import garble
+from kinweave.llm import garble, lookalike, split, tokens
 from kinweave.runtime import table
 
 
+def _values(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "persons_imputed").select(F.lit("name").alias("field_name"), F.col("id").alias("record_key"), F.col("name").alias("value"))
+    letters = table(spark, sf, "aposcripta_dataset").select(F.lit("transcription").alias("field_name"), F.col("item_id_telma").alias("record_key"), F.col("transcription").alias("value"))
+    return names.union(letters)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.found_records(_values(spark, sf))
+
+
+def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.unify(_values(spark, sf))
+
+
+def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    letters = table(spark, sf, "aposcripta_dataset")
+    parts = [split.split_oversized(letters, "item_id_telma", f, limit, overlap).withColumn("field_name", F.lit(f)) for f, limit, overlap in (("transcription", 4000, 200), ("regeste", 1000, 80))]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_pieces(spark, sf).where("piece_no = 1").select("item_id_telma", "field_name").distinct()
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    ids = tokens.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    return tokens.decode(ids, into="back").select("doc_id", F.size("ids").alias("n_tokens"), F.coalesce(F.col("back") == F.coalesce("text", F.lit("")), F.lit(False)).alias("exact"))
+
+
 def p10_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return garble.repair(table(spark, sf, "documents"))
 
@@ -17,5 +50,10 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_repaired(spark, sf).where("garbled").select("doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_repaired": p10_repaired}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_unified, p7_found, p7_pieces, p8_ids, p8_roundtrip, p10_found, p10_repaired)}
+
+SQL: dict[str, str] = {
+    "p7_found": """
+SELECT DISTINCT item_id_telma, 'transcription' AS field_name FROM aposcripta_dataset WHERE length(transcription) > 4000
+UNION ALL SELECT DISTINCT item_id_telma, 'regeste' FROM aposcripta_dataset WHERE length(regeste) > 1000""",
+}
