@@ -224,35 +224,37 @@ def _replace(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series(out)
 
 
-def repair(docs: DataFrame, key: str = "doc_id", text: str = "text", min_count: int = 5, ratio: float = 20.0) -> DataFrame:
-    """(key, garbled, restorable, restored, n_spans, n_words) for every document.
+def repair(docs: DataFrame, key: str = "doc_id", text: str = "text", min_count: int = 5, ratio: float = 20.0, restore: bool = True) -> DataFrame:
+    """(key, garbled, restorable, restored, n_spans, n_words) for every row of docs.
 
     NULL, empty and ASCII texts are never garbled and come back unchanged; texts of any length are processed whole;
-    a repeated key gives one row per distinct text. restored equals the text where nothing was garbled. restorable is
-    false where characters are lost.
+    repeated keys keep their rows. restored equals the text where nothing was garbled; restorable is false where
+    characters are lost. With restore = False the column restored is left out, and no text is shuffled or written.
     """
     scan = F.pandas_udf(_scan, _SCAN)
     options = F.pandas_udf(_options, "array<struct<pair:string,new:string>>")
     odd = F.pandas_udf(_odd, "boolean")
     replace = F.pandas_udf(_replace, "string")
-    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
-    plain = base.where(F.col("t").isNull() | ~F.col("t").rlike("[^\\x00-\\x7f]"))
-    other = base.where(F.col("t").rlike("[^\\x00-\\x7f]"))
-    scanned = checkpoint(other.withColumn("s", scan("t")).select("k", "t", "s.*"))
-    counts = scanned.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = checkpoint(counts)
+    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    strange = F.coalesce(F.col("t").rlike("[^\\x00-\\x7f]"), F.lit(False))
+    plain, other = base.where(~strange), base.where(strange)
+    scanned = other.withColumn("s", scan("t")).select("k", F.xxhash64("t").alias("h"), "s.*")
+    scanned = checkpoint(scanned if restore else scanned.drop("text"))
+    counts = checkpoint(scanned.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     cand = counts.withColumn("odd", odd("word")).withColumn("o", F.explode(options("word"))).select("word", "n", "odd", "o.pair", "o.new")
     # the remapped word's own frequency: words with accents were counted, plain ones do not help
     known = counts.select(F.col("word").alias("new"), F.col("n").alias("n_new"))
     cand = cand.join(known, "new", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
     sure = (F.col("n_new") >= min_count) & (F.col("n_new") >= ratio * F.col("n"))
-    best = cand.where(F.col("odd") | sure).groupBy("word").agg(F.max_by(F.struct("new", "pair"), F.struct("n_new", "pair", "new")).alias("b")).select("word", "b.new", "b.pair")
-    hit = scanned.select("k", "t", F.explode(F.array_distinct("words")).alias("word")).join(best, "word")
-    fixes = hit.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("word", "new"))).alias("fix"))
-    done = scanned.drop("words").join(fixes, ["k", "t"], "left") if key else scanned
-    nw = F.coalesce(F.size("fix"), F.lit(0))
-    nw = F.when(F.col("fix").isNull(), 0).otherwise(nw)
-    rows = done.select(
-        F.col("k").alias(key), ((F.col("spans") > 0) | F.col("lost") | (nw > 0)).alias("garbled"), (~F.col("lost")).alias("restorable"), replace("text", "fix").alias("restored"), F.col("spans").alias("n_spans"), nw.cast("int").alias("n_words")
-    )
-    return rows.unionByName(plain.select(F.col("k").alias(key), F.lit(False).alias("garbled"), F.lit(True).alias("restorable"), F.col("t").alias("restored"), F.lit(0).alias("n_spans"), F.lit(0).alias("n_words")))
+    best = cand.where(F.col("odd") | sure).groupBy("word").agg(F.max_by(F.struct("new", "pair"), F.struct("n_new", "pair", "new")).alias("b")).select("word", "b.new")
+    hit = scanned.select("k", "h", F.explode(F.array_distinct("words")).alias("word")).join(best, "word")
+    fixes = hit.groupBy("k", "h").agg(F.sort_array(F.collect_set(F.struct("word", "new"))).alias("fix"))
+    # a NULL key meets its fixes too
+    fixes = fixes.select(F.col("k").alias("k2"), F.col("h").alias("h2"), "fix")
+    done = scanned.drop("words").join(fixes, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")), "left")
+    n_words = F.when(F.col("fix").isNull(), 0).otherwise(F.size("fix")).cast("int")
+    head = [F.col("k").alias(key), ((F.col("spans") > 0) | F.col("lost") | (n_words > 0)).alias("garbled"), (~F.col("lost")).alias("restorable")]
+    tail = [F.col("spans").alias("n_spans"), n_words.alias("n_words")]
+    rows = done.select(*head, *([replace("text", "fix").alias("restored")] if restore else []), *tail)
+    clean = plain.select(F.col("k").alias(key), F.lit(False).alias("garbled"), F.lit(True).alias("restorable"), *([F.col("t").alias("restored")] if restore else []), F.lit(0).alias("n_spans"), F.lit(0).alias("n_words"))
+    return rows.unionByName(clean)

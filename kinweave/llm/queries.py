@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import garble, lookalike, split, tokens
+from kinweave.llm import garble, linkage, lookalike, mixing, split, tokens, variants
 from kinweave.runtime import table
 
 
@@ -15,6 +15,22 @@ def _values(spark: SparkSession, sf: str) -> DataFrame:
     return names.union(letters)
 
 
+def p1_links(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(table(spark, sf, "doc_matches_ai_extracted_high"), table(spark, sf, "persons_imputed"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_links(spark, sf).where("accepted").select("match_id", "person_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_pairs(table(spark, sf, "persons_imputed"), table(spark, sf, "doc_matches_ai_extracted_high"))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_persons(table(spark, sf, "persons_imputed"), table(spark, sf, "doc_matches_ai_extracted_high"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.found_records(_values(spark, sf))
 
@@ -42,15 +58,23 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.decode(ids, into="back").select("doc_id", F.size("ids").alias("n_tokens"), F.coalesce(F.col("back") == F.coalesce("text", F.lit("")), F.lit(False)).alias("exact"))
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def p10_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return garble.repair(table(spark, sf, "documents"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_repaired(spark, sf).where("garbled").select("doc_id")
+    return garble.repair(table(spark, sf, "documents"), restore=False).where("garbled").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_unified, p7_found, p7_pieces, p8_ids, p8_roundtrip, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_groups, p4_found, p4_unified, p7_found, p7_pieces, p8_ids, p8_roundtrip, p9_mix, p9_report, p10_found, p10_repaired)}
 
 SQL: dict[str, str] = {
     "p7_found": """
