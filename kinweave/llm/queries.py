@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import garble, linkage, lookalike, mixing, split, tokens, variants
+from kinweave.llm import garble, linkage, lookalike, mixing, split, subjects, tokens, variants
 from kinweave.runtime import table
 
 
@@ -39,6 +39,14 @@ def p4_unified(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.unify(_values(spark, sf))
 
 
+def p6_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.assign(table(spark, sf, "aposcripta_dataset"), table(spark, sf, "matched_docs_coded"), table(spark, sf, "subject_areas"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_subjects(spark, sf).select("item_id_telma", "subject")
+
+
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     letters = table(spark, sf, "aposcripta_dataset")
     parts = [split.split_oversized(letters, "item_id_telma", f, limit, overlap).withColumn("field_name", F.lit(f)) for f, limit, overlap in (("transcription", 4000, 200), ("regeste", 1000, 80))]
@@ -74,7 +82,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return garble.repair(table(spark, sf, "documents"), restore=False).where("garbled").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_groups, p4_found, p4_unified, p7_found, p7_pieces, p8_ids, p8_roundtrip, p9_mix, p9_report, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_groups, p4_found, p4_unified, p6_found, p6_subjects, p7_found, p7_pieces, p8_ids, p8_roundtrip, p9_mix, p9_report, p10_found, p10_repaired)}
 
 SQL: dict[str, str] = {
     "p7_found": """
