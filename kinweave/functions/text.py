@@ -21,18 +21,22 @@ def strip_tags(x: Column | str, collapse: bool = True) -> Column:
     return F.trim(F.regexp_replace(out, "\\s+", " ")) if collapse else out
 
 
-@F.pandas_udf("string")
-def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _mapped(f, x: Column | str) -> Column:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: None if t is None else f(t))
+
+    return F.pandas_udf(run, "string")(_c(x))
+
+
+def unescape(x: Column | str) -> Column:
     """HTML entities decoded (OP-038); Spark has no built-in for them."""
-    for s in batches:
-        yield s.map(lambda t: None if t is None else html.unescape(t))
+    return _mapped(html.unescape, x)
 
 
-@F.pandas_udf("string")
-def strip_diacritics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def strip_diacritics(x: Column | str) -> Column:
     """Letters without their combining marks (OP-039); Spark has no decomposition."""
-    for s in batches:
-        yield s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    return _mapped(lambda t: t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), x)
 
 
 def orthographic(x: Column | str) -> Column:

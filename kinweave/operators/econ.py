@@ -92,7 +92,8 @@ class Fit:
         se = math.sqrt(max(self.vcov[i, i], 0.0))
         t = self.beta[i] / se if se > 0 else math.nan
         df = min(self.clusters.values()) - 1 if self.clusters else self.n - self.k
-        return {"term": name, "beta": float(self.beta[i]), "se": se, "t": t, "p": t_two_sided(t, df) if se > 0 else math.nan, "n": self.n, "f_first": self.first_stage_f}
+        p = t_two_sided(float(t), df) if se > 0 else math.nan
+        return {"term": name, "beta": float(self.beta[i]), "se": float(se), "t": float(t), "p": float(p), "n": self.n, "f_first": None if self.first_stage_f is None else float(self.first_stage_f)}
 
 
 def _psd(v: np.ndarray) -> np.ndarray:
