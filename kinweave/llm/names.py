@@ -78,6 +78,8 @@ def parse(text: str | None) -> dict | None:
     if text is None:
         return None
     t = fold(text)
+    if not any(c.isalpha() for c in t):
+        return None
     whole = re.sub(r"(?<=[a-z])[\[(]([a-z]+)[\])]", r"\1", t)  # S[ibillam]
     m = re.match(r"^\s*([a-z'\- ]+?)\s*\(([^)]*)\)\s*$", whole)  # Place (Given)
     if m:

@@ -112,6 +112,7 @@ def learn(patterns: list[tuple[str, str, int]], rounds: int = 100) -> dict[tuple
 def assign(letters: DataFrame, codes: DataFrame, subjects: DataFrame, at_least: float = 0.5, most: int = 2) -> DataFrame:
     """(item_id_telma, subject, posterior): one or two subjects for each letter with an abstract or a text.
 
+    A subject needs the yes of a lexicon or a code; the addressee alone, or how common it is, doesn't do.
     Letters without either (NULL, empty, blank) get none; letters no function says anything on, and those without a
     probable subject, get 'other' (if it is a subject), or else their best subject. 'other' never stands beside another
     subject. Repeated letters count once; codes that are no subject, however written, say nothing.
@@ -137,8 +138,8 @@ def assign(letters: DataFrame, codes: DataFrame, subjects: DataFrame, at_least:
     post = learn(counts) if counts else {}
     table = spark.createDataFrame([(s, p, x) for (s, p), x in post.items()], "subject string, pattern string, posterior double")
     scored = votes.join(F.broadcast(table), ["subject", "pattern"])  # as many rows as patterns
-    best = scored.groupBy("item_id_telma").agg(F.sort_array(F.collect_list(F.struct((-F.col("posterior")).alias("m"), (F.col("subject") == "other").alias("o"), F.col("subject").alias("s")))).alias("all"))  # one entry per subject
-    likely = F.filter("all", lambda x: (x.m <= -at_least) & ~x.o)
+    best = scored.groupBy("item_id_telma").agg(F.sort_array(F.collect_list(F.struct((-F.col("posterior")).alias("m"), (F.col("subject") == "other").alias("o"), F.col("subject").alias("s"), F.col("pattern").rlike("^(y|.y|..y|....y)").alias("told")))).alias("all"))  # one entry per subject
+    likely = F.filter("all", lambda x: (x.m <= -at_least) & ~x.o & x.told)
     fallback = F.filter("all", lambda x: x.o)
     chosen = F.when(F.size(likely) > 0, F.slice(likely, 1, most)).when(F.size(fallback) > 0, fallback).otherwise(F.slice("all", 1, 1))
     return best.select("item_id_telma", F.explode(chosen).alias("c")).select("item_id_telma", F.col("c.s").alias("subject"), (-F.col("c.m")).alias("posterior"))

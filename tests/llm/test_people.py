@@ -1,0 +1,113 @@
+import random
+
+import numpy as np
+import pytest
+
+pytest.importorskip("kinweave.llm")
+from kinweave.llm import linkage, names, people, subjects, variants  # noqa: E402
+
+PERSONS = "id string, name string, sex string, birth int, death int, birth_imputed int, death_imputed int, loaded_at int"
+MATCHES = "match_id string, doc_id string, doc_year int, person_id string, quoted_latin string, loaded_at int"
+
+
+@pytest.mark.parametrize("text,given,place", [("Pétronille de Nopustidure", "petronille", "nopustid"), ("von Metrobrotren, Petron.", "petron", "metrobrotr"), ("Gigagusac (Barthélemy)", "barthelemy", "gigagus"), ("nobilis mulieris S[ibillam] comitisse Fotratutensis", "sibillam", "fotratut"), ("domino Nocachafie, Caro. nomine", "caro", "nocachaf"), ("Varuzézure, Eudes le Vieux de", "eudes", "varuzez"), ("T.", "t", "")])
+def test_parse(text, given, place):
+    p = names.parse(text)
+    assert (p["given"], p["place"]) == (given, place)
+
+
+def test_parse_nothing():
+    assert names.parse(None) is None and names.parse("") is None and names.parse("12 (3)") is None
+
+
+def test_jaro_winkler():
+    assert people.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
+    assert people.jaro_winkler("", "a") == 0.0 and people.jaro_winkler("a", "a") == 1.0
+
+
+def crowd():
+    persons = [("p1", "Guillaume de Nesivefure", "M", 1100, 1150, 0, 0, 1), ("p2", "Wilhelm von Nesivefure", "M", 1101, 1150, 0, 0, 1), ("p3", "Guillaume de Nesivefure", "M", 1180, 1240, 0, 0, 1), ("p4", "Mathilde de Gigagusac", "F", 1100, None, 0, 0, 1), ("p5", "Gigagusac (M.)", "F", 1101, None, 0, 0, 1), ("p6", None, "M", None, None, 0, 0, 1), ("p7", "", "", 1100, 1150, 0, 0, 1), ("p1", "Guillaume de Nesivefure", "M", 1100, 1150, 0, 0, 2)]
+    quotes = [(f"m{i}", f"d{i}", 1130, "p1", "Guillelmi Nesivefensis", 1) for i in range(6)] + [(f"w{i}", f"e{i}", 1130, "p2", "Guillelmum Nesivefensem", 1) for i in range(6)]
+    quotes += [("q1", "x", 1140, None, "Guillelmo domino Nesivefensi", 1), ("q2", "x", 1140, None, "G. Nesivefensis", 1), ("q3", "y", 1220, "gone", "Guillelmus Nesivefensis", 1), ("q4", "y", 1500, None, "Guillelmus Nesivefensis", 1), ("q5", "z", 1130, None, "T.", 1), ("q6", "z", 1130, None, None, 1), ("q7", "z", 1130, None, "", 1), ("q8", "z", None, None, "Mathildis Gigagusensis", 1), ("q1", "x", 1140, None, "Guillelmo domino Nesivefensi", 2)]
+    return persons, quotes
+
+
+def test_linkage(spark):
+    persons, quotes = crowd()
+    out = linkage.link(spark.createDataFrame(quotes, MATCHES), spark.createDataFrame(persons, PERSONS))
+    rows = {r["match_id"]: r["person_id"] for r in out.where("accepted").collect()}
+    assert rows["q1"] in ("p1", "p2") and rows["q2"] in ("p1", "p2") and rows["q3"] == "p3" and rows["q8"] == "p4"
+    assert not {"q4", "q5", "q6", "q7"} & set(rows)
+    assert out.count() == out.select("match_id").distinct().count()
+
+
+def test_variants(spark):
+    persons, quotes = crowd()
+    got = {tuple(r) for r in variants.variant_pairs(spark.createDataFrame(persons, PERSONS), spark.createDataFrame(quotes, MATCHES)).collect()}
+    assert ("p1", "p2") in got and ("q1", "q2") in got
+    assert not any("p3" in p or "p7" in p for p in got)
+
+
+def test_empty_people(spark):
+    persons, quotes = spark.createDataFrame([], PERSONS), spark.createDataFrame([], MATCHES)
+    assert linkage.link(quotes, persons).count() == 0
+    assert variants.variant_pairs(persons, quotes).count() == 0
+
+
+def test_solver_rules():
+    none = np.array([], dtype=int)
+    lone = linkage.solve(np.array([0.9]), np.array([0]), none, none, np.array([]))
+    twins = linkage.solve(np.array([0.9, 0.9]), np.array([0, 0]), none, none, np.array([]))
+    clear = linkage.solve(np.array([0.9, 0.3]), np.array([0, 0]), none, none, np.array([]))
+    assert lone[0] > 0.7 and twins[0] == pytest.approx(0.5, abs=0.02) and clear[0] - clear[1] > 0.3
+    # a weak quote is drawn toward a strong one of the same letter
+    tied = linkage.solve(np.array([0.9, 0.4]), np.array([0, 1]), np.array([0]), np.array([1]), np.array([0.0]))
+    assert tied[1] > linkage.solve(np.array([0.4]), np.array([0]), none, none, np.array([]))[0]
+
+
+def test_solver_reaches_the_optimum():
+    rng = np.random.default_rng(0)
+    n, q = 12, 4
+    sim, quote = rng.random(n), np.arange(n) % q
+    a, b = np.arange(0, n - 1), np.arange(1, n)
+    slack = np.full(n - 1, 0.1)
+    z = linkage.solve(sim, quote, a, b, slack, rounds=5000, tol=1e-10)
+
+    def loss(x):
+        return 4 * np.sum(np.maximum(sim - x, 0) ** 2) + 0.6 * np.sum(x**2) + np.sum(np.maximum(np.abs(x[a] - x[b]) - slack, 0) ** 2)
+
+    assert all(np.sum(z[quote == k]) <= 1 + 1e-4 for k in range(q))
+    for _ in range(3000):
+        y = np.clip(z + rng.normal(0, 0.05, n), 0, 1)
+        for k in range(q):
+            y[quote == k] /= max(1.0, y[quote == k].sum())
+        assert loss(z) <= loss(y) + 1e-3
+
+
+def test_subject_sentences():
+    assert subjects.named_in("Dîmes et granges de l'abbaye. Donné la veille des noces du bailli.") == {"ecclesiastical_property"}
+    assert subjects.named_in("Nulli ergo liceat sub pena excommunicationis. Homagium pro terra debitum") == {"secular_territorial"}
+    assert subjects.named_in(None) == set() and subjects.named_in(" ") == set()
+
+
+def test_subject_model_learns_accuracy():
+    rng = random.Random(2)
+    counts: dict = {}
+    for _ in range(4000):
+        y = rng.random() < 0.3
+        vote = lambda hit, false, seen=1.0: "-" if rng.random() > seen else "y" if rng.random() < (hit if y else false) else "n"  # noqa: E731, B023
+        p = vote(0.95, 0.02) + vote(0.9, 0.05) + vote(0.9, 0.05, 0.7) + vote(0.5, 0.5) + vote(0.7, 0.2, 0.3)
+        counts[p] = counts.get(p, 0) + 1
+    post = subjects.learn([("s", p, n) for p, n in counts.items()])
+    assert post["s", "yyynn"] > 0.95 and post["s", "nnnyy"] < 0.1
+
+
+def test_assign(spark):
+    letters = [("1", "Partage de la succession entre les frères.", None, None, "Priori de X", 1), ("2", None, "Homagium pro terra de X. Hereditatem avitam filie.", "", None, 1), ("3", "", " ", "Homagium pro terra", None, 1), ("4", "Envoi du livre.", None, None, None, 1), (None, "Homagium", None, None, None, 1), ("1", "Partage de la succession entre les frères.", None, None, "Priori de X", 2)]
+    df = spark.createDataFrame(letters, "item_id_telma string, analyse string, transcription string, regeste string, destinataire string, code int")
+    codes = spark.createDataFrame([("1", "Inheritance"), ("1", None), ("4", "clerical_discipline")], "doc_id string, domain string")
+    areas = spark.createDataFrame([(s,) for s in subjects.LEXICON], "subject string")
+    got = {(r["item_id_telma"], r["subject"]) for r in subjects.assign(df, codes, areas).collect()}
+    assert got == {("1", "inheritance"), ("2", "secular_territorial"), ("2", "inheritance"), ("4", "other")}
+    assert subjects.assign(df.limit(0), codes, areas).count() == 0
+    assert subjects.assign(df, codes.limit(0), areas.limit(0)).count() == 0
