@@ -55,6 +55,13 @@ def _automaton(name: str) -> re.Pattern:
     return re.compile(f"(?:{of(0xC2, 0xDF)}{cont}|{of(0xE0, 0xEF)}{cont}{{2}}|{of(0xF0, 0xF4)}{cont}{{3}})+")
 
 
+@lru_cache(maxsize=None)
+def _ends(name: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The characters that can begin, and those that can continue, a sequence in a table."""
+    t = _table(name)
+    return frozenset(c for c, b in t.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in t.items() if b <= 0xBF)
+
+
 def _kind(ch: str) -> str:
     """'ok' for what Latin text is written with, a script name for Greek and Cyrillic, 'no' for the rest."""
     c = ord(ch)
@@ -115,7 +122,9 @@ def decode_spans(text: str, max_layers: int = 4) -> tuple[str, int]:
     for _ in range(max_layers):
         if text.isascii():
             break
-        by_view = {v: s for v in VIEWS if (s := _spans(text, v))}
+        chars = set(text)
+        able = [v for v in VIEWS if not chars.isdisjoint(_ends(v)[0]) and not chars.isdisjoint(_ends(v)[1])]
+        by_view = {v: s for v in able if (s := _spans(text, v))}
         if not by_view:
             break
         # two tables may both read a text; the one that gives more everyday letters is the right one
@@ -132,6 +141,7 @@ def decode_spans(text: str, max_layers: int = 4) -> tuple[str, int]:
     return text, total
 
 
+_C1 = re.compile("[\x80-\x9f]")
 WORD = re.compile(r"[^\s.,;:!?()\[\]{}\"/'’\-–—]+")
 _LATIN_LOWER = re.compile(r"[a-zß-öø-ÿœž]+\Z")
 
@@ -197,7 +207,7 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 rows.append((t, 0, False, []))
                 continue
             fixed, n = decode_spans(t)
-            lost = "�" in t or any("\x80" <= c <= "\x9f" for c in fixed) or "�" in fixed
+            lost = "�" in t or "�" in fixed or _C1.search(fixed) is not None
             rows.append((fixed, n, lost, _suspects(fixed)))
         yield pd.DataFrame(rows, columns=["text", "spans", "lost", "words"])
 
