@@ -30,7 +30,7 @@ _COMPAT = re.compile("[！-～ﬀ-ﬆⅠ-ⅿ\U0001d400-\U0001d7ff]+")
 _BLANK = re.compile("[\u0009\u000b\u000c\u0085   -     　]")
 _UNSEEN = re.compile("[\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0100-\U000e01ef]")
 _HYPHEN = re.compile("[‐‑]")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u1f00-\u1fff" + "".join(OTHER_TO_LATIN) + "]")
 _APART = re.compile("[^̀-ͯ][̀-ͯ]+")
 _UNIT = re.compile(r"[^ \n\r]+")
 
@@ -67,7 +67,7 @@ def map_letters(text: str) -> str:
     A word of two scripts is a Latin word with look-alikes. A word that is wholly of look-alikes is one too, unless a
     word next to it is truly written in its script.
     """
-    if text.isascii():
+    if not _FOREIGN.search(text):
         return text
     # the words are found with invisible characters and separate accents set aside
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ­͏​-‏⁠-⁤﻿])*", text)]

@@ -32,12 +32,19 @@ _ADJECTIVE = re.compile(r"^(.{3,}?)e?n{1,2}s{1,2}(is|em|i|e|es|ibus)$")
 _COUNTRY = re.compile(r"^(.{4,}?)(iae|ie|iam|iei|ia|iæ)$")
 
 
-@lru_cache(maxsize=200_000)
-def fold(text: str) -> str:
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
+def fold_text(text: str) -> str:
     """Lower case, one spelling per letter: no accents, umlauted a as e, ligatures opened."""
+    if text.isascii():
+        return text.lower()
     text = consistent(text).lower().replace("ä", "e").replace("æ", "e").replace("œ", "e").replace("ß", "ss")
-    text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return text
+    return _MARKS.sub("", unicodedata.normalize("NFD", text))
+
+
+#: For names and other short text that comes again and again.
+fold = lru_cache(maxsize=200_000)(fold_text)
 
 
 def sound(word: str) -> str:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.names import fold
+from kinweave.llm.names import fold, fold_text
 from kinweave.runtime import checkpoint
 
 #: Word beginnings that speak for a subject, in French and in Latin, in folded spelling.
@@ -38,13 +38,19 @@ PASSING = re.compile(r"^\s*(?:data?(?:um)?\b|scriptum\b|testibus\b|presentibus\b
 _BREAK = re.compile(r"[.;:\n\r|!?]+|\s/+\s")
 _TAG = re.compile(r"<[^>]*>")
 _EDIT = re.compile(r"[\[\]()<>{}⟨⟩]")
+_WORDS = re.compile("[a-z]+")
 CLERGY = re.compile(r"^\s*(?:abbat|prior|episcop|archiepiscop|decan|capitul|preposit|canonic|convent|rector|archidiacon|abbatiss)")
 FUNCTIONS = ("abstract", "body", "register", "address", "code")
 
 
 @lru_cache(maxsize=1)
-def _rules() -> tuple[tuple[str, re.Pattern], ...]:
-    return tuple((s, re.compile(p)) for s, p in LEXICON.items())
+def _rules() -> tuple[dict[str, re.Pattern], dict[str, frozenset[str]]]:
+    """The rule of each subject, and for the first three letters of what a rule's alternatives begin with its subjects."""
+    starts: dict[str, set[str]] = {}
+    for subject, pattern in LEXICON.items():
+        for alternative in re.split(r"\|(?![^(]*\))", pattern):
+            starts.setdefault(re.search("[a-z]{2,}", alternative.replace(r"\b", "")).group()[:3], set()).add(subject)
+    return {s: re.compile(rf"(?<![a-z])(?:{p})") for s, p in LEXICON.items()}, {k: frozenset(v) for k, v in starts.items()}
 
 
 def named_in(text: str | None) -> set[str]:
@@ -53,16 +59,25 @@ def named_in(text: str | None) -> set[str]:
         return set()
     t = _EDIT.sub("", html.unescape(_TAG.sub(" ", text)))
     found: set[str] = set()
-    for sentence in _BREAK.split(fold(t)):
-        sentence = re.sub(r"\s+", " ", sentence)
-        if len(sentence) < 5 or PASSING.match(sentence):
-            continue
-        for subject, rule in _rules():
-            if subject not in found and rule.search(sentence):
-                found.add(subject)
+    for sentence in _BREAK.split(fold_text(t)):
+        if len(sentence) >= 5:
+            found |= _sentence(sentence) if len(sentence) <= 300 else _read(sentence)
     return found
 
 
+def _read(sentence: str) -> frozenset[str]:
+    sentence = " ".join(sentence.split())
+    if PASSING.match(sentence):
+        return frozenset()
+    rules, starts = _rules()
+    able = {subject for w in _WORDS.findall(sentence) for subject in starts.get(w[:3], ()) or starts.get(w[:2], ())}
+    return frozenset(subject for subject in able if rules[subject].search(sentence))
+
+
+#: Formulas come again in many letters.
+_sentence = lru_cache(maxsize=100_000)(_read)
+
+
 def _label(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     for analyse, body, register, address in batches:
         rows = []
