@@ -143,6 +143,23 @@ def pairs_in_group(df: DataFrame, group: str, member: str, value: str) -> DataFr
     return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.min(F.least("va", "vb")).alias("value"))
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task: int = 100_000) -> DataFrame:
+    """Inner equi-join in which a hot key of the left side is split over several tasks.
+
+    Keys with more than rows_per_task left rows are counted first; there are at most rows / rows_per_task of them, so
+    their table is small whatever the data. Their left rows are spread by a hash of the row, their right rows repeated
+    once per part; all other keys join as usual.
+    """
+    hot = left.groupBy(*on).count().where(F.col("count") > rows_per_task).select(*on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("__parts"))
+    hot = checkpoint(hot)
+    if hot.isEmpty():
+        return left.join(right, on)
+    hot = F.broadcast(hot)
+    a = left.join(hot, on, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("__parts")).cast("int"))).drop("__parts")
+    b = right.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return a.join(b, [*on, "__part"]).drop("__part")
+
+
 def full_join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on, "full_outer")
 

@@ -210,3 +210,11 @@ def test_streaming(spark, tmp_path):
     q.stop()
     assert {(r["k"], r["n"]) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
     assert windows.latest_per_key(src.where("k = 'b'"), src.where("k = 'a'"), "u", "ts").count() == 2
+
+
+def test_salted_join_splits_hot_keys(spark):
+    left = spark.createDataFrame([(1, i) for i in range(1000)] + [(k, k) for k in range(2, 12)], "k int, x int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (99, "d")], "k int, v string")
+    got = relational.salted_join(left, right, ["k"], rows_per_task=100)
+    assert sorted(map(tuple, got.select("k", "x", "v").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "x", "v").collect()))
+    assert relational.salted_join(left.limit(0), right, ["k"]).count() == 0
