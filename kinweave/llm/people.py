@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -64,6 +65,23 @@ def classed(df: DataFrame, classes: DataFrame) -> DataFrame:
     return out.withColumn("cls", F.coalesce("cls", "stem")).withColumn("latin", F.coalesce("latin", "given"))
 
 
+@dataclass
+class People:
+    """Parsed and classed persons (one row per id) and quotes (one row per match_id), each written once."""
+
+    who: DataFrame
+    said: DataFrame
+
+
+def prepare(persons_df: DataFrame, quotes: DataFrame) -> People:
+    """Both tables parsed once, the name classes mined once. Rows without a key are dropped, repeated rows count once."""
+    who = checkpoint(persons(persons_df))
+    rows = quotes.where("match_id IS NOT NULL").groupBy("match_id").agg(F.min(F.struct("doc_id", "doc_year", "person_id", "quoted_latin")).alias("r")).select("match_id", "r.*")
+    said = checkpoint(parsed(rows, "quoted_latin"))
+    classes = checkpoint(mine_classes(who, said))
+    return People(checkpoint(classed(who, classes)), checkpoint(classed(said, latin_classes(said, classes))))
+
+
 @lru_cache(maxsize=500_000)
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
@@ -130,6 +148,16 @@ def place_similarity(a: str, b: str) -> float:
     return jaro_winkler(x, y)
 
 
+def initials(*cols: str):
+    """Letters a given name may begin with, in the spellings given; names whose sets don't meet can't agree.
+
+    Coarse spelling makes one letter of those that scribes exchange; w and g are one for Walter and Gualterius.
+    """
+    first = [F.substring(F.regexp_replace(F.col(c), pattern, ""), 1, 1) for c in cols for pattern in ("^=", "^=?h(?=.)")]
+    coarse = [F.translate(x, "ykjvwgtpf", "iciuuudpp") for x in first]
+    return F.array_distinct(F.array(*coarse))
+
+
 def place_keys(place: str = "place"):
     """Two block keys of a place: how it begins and how it ends, in coarse spelling; one slip spares one of them."""
     coarse = F.regexp_replace(F.regexp_replace(F.translate(F.regexp_replace(F.regexp_replace(F.col(place), "ph", "f"), "th", "t"), "ykjvwhft", "iciuu"), "[aeo]e", "e"), "(.)\\1+", "$1")

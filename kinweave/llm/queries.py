@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import garble, linkage, lookalike, mixing, split, subjects, tokens, variants
+from kinweave.llm import garble, linkage, lookalike, mixing, people, split, subjects, tokens, variants
 from kinweave.runtime import table
 
 
@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.variant_persons(table(spark, sf, "persons_imputed"), table(spark, sf, "doc_matches_ai_extracted_high"))
+    return variants.variant_persons(people.prepare(table(spark, sf, "persons_imputed"), table(spark, sf, "doc_matches_ai_extracted_high")))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

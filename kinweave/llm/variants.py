@@ -47,17 +47,14 @@ def _other(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c + "2") for c in df.columns])
 
 
-def variant_persons(persons: DataFrame, quotes: DataFrame, max_years: int = 2, min_given: float = 0.86, min_place: float = 0.88) -> DataFrame:
+def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.86, min_place: float = 0.88) -> DataFrame:
     """(id, component): ids that record one person carry one component (the smallest representative).
 
     Only ids with a given name, a place and at least one year can be linked: without a year namesakes can't be told
     apart. Years may differ by max_years; numerals and epithets have to agree. NULL names, empty tables and repeated
     rows give no links.
     """
-    who = P.persons(persons)
-    said = P.parsed(quotes.select("match_id", "person_id", "quoted_latin").dropDuplicates(["match_id"]), "quoted_latin")
-    who = checkpoint(P.classed(who, P.mine_classes(who, said)))
-    usable = who.where("given <> '' AND place <> '' AND (birth IS NOT NULL OR death IS NOT NULL)")
+    usable = people.who.where("given <> '' AND place <> '' AND (birth IS NOT NULL OR death IS NOT NULL)")
     parts = [*SIDE, "birth", "death"]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("id").alias("rep")))
     # a block: a code of the place and a year, in steps so that years within max_years share one
@@ -81,22 +78,19 @@ def variant_persons(persons: DataFrame, quotes: DataFrame, max_years: int = 2, m
     return usable.join(right, same).select("id", "component")
 
 
-def variant_quotes(quotes: DataFrame, persons: DataFrame, min_given: float = 0.86, min_place: float = 0.86) -> DataFrame:
+def variant_quotes(people: P.People, min_given: float = 0.86, min_place: float = 0.86) -> DataFrame:
     """(match_id, doc_id, quoted_latin, component): quotes of one letter that mean one person share a component.
 
     dominus and domina are said of every rank. A quote has to name a given name, at least by its initial, and a place; anything less is too vague. An initial
     that fits two different names of a place in the letter is too vague as well.
     """
-    who = P.persons(persons)
-    said = P.parsed(quotes.where("match_id IS NOT NULL AND doc_id IS NOT NULL AND quoted_latin IS NOT NULL").groupBy("match_id").agg(F.min(F.struct("doc_id", "person_id", "quoted_latin")).alias("r")).select("match_id", "r.*"), "quoted_latin")
-    said = checkpoint(said)
-    said = P.classed(said, P.latin_classes(said, checkpoint(P.mine_classes(who, said))))
-    usable = checkpoint(said.where("given <> '' AND place <> ''"))
+    usable = people.said.where("doc_id IS NOT NULL AND quoted_latin IS NOT NULL AND given <> '' AND place <> ''")
     parts = ["doc_id", *SIDE]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("match_id").alias("rep")))
-    keyed = reps.withColumn("block", F.explode(_codes()))
-    pairs = keyed.join(_other(keyed).withColumnRenamed("block2", "block").withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "block"]).where("rep < rep2").drop("block")
-    pairs = pairs.where("(sex = '' OR sex2 = '' OR sex = sex2) AND (rank IN ('', 'lord') OR rank2 IN ('', 'lord') OR rank = rank2) AND (numeral = numeral2 OR numeral = 0 OR numeral2 = 0)").dropDuplicates(["rep", "rep2"])
+    keyed = reps.withColumn("codes", _codes()).withColumn("initials", P.initials("given", "latin", "cls")).withColumn("block", F.explode("codes"))
+    # kept at the first code that a pair shares
+    pairs = keyed.join(_other(keyed).withColumnRenamed("block2", "block").withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "block"]).where("rep < rep2 AND block = array_intersect(codes, codes2)[0] AND arrays_overlap(initials, initials2)").drop("block", "codes", "codes2", "initials", "initials2")
+    pairs = pairs.where("(sex = '' OR sex2 = '' OR sex = sex2) AND (rank IN ('', 'lord') OR rank2 IN ('', 'lord') OR rank = rank2) AND (numeral = numeral2 OR numeral = 0 OR numeral2 = 0)")
     good = checkpoint(_scored(pairs).where(f"p >= {min_place} AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2)))").select("rep", "rep2", "short", "short2", "g", "cls", "cls2", "given", "given2"))
     # an abbreviation next to two different full names of its letter says nothing
     ends = good.where("short <> short2").select(F.when(F.col("short"), F.col("rep")).otherwise(F.col("rep2")).alias("rep"), F.when(F.col("short"), F.col("cls2")).otherwise(F.col("cls")).alias("full"))
@@ -110,10 +104,11 @@ def variant_quotes(quotes: DataFrame, persons: DataFrame, min_given: float = 0.8
 def variant_pairs(persons: DataFrame, quotes: DataFrame) -> DataFrame:
     """(key_a, key_b), key_a < key_b: all pairs of ids of one person, and of quotes of one letter, differing as
     strings, that mean one person."""
-    ids = checkpoint(variant_persons(persons, quotes))
+    people = P.prepare(persons, quotes)
+    ids = checkpoint(variant_persons(people))
     ids = ids.join(ids.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
     a = ids.select(F.col("id").alias("key_a"), "component").join(ids.select(F.col("id").alias("key_b"), "component"), "component").where("key_a < key_b").select("key_a", "key_b")
-    q = checkpoint(variant_quotes(quotes, persons))
+    q = checkpoint(variant_quotes(people))
     q = q.join(q.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
     b = q.select(F.col("match_id").alias("key_a"), "component", F.col("quoted_latin").alias("t1")).join(q.select(F.col("match_id").alias("key_b"), "component", F.col("quoted_latin").alias("t2")), "component").where("key_a < key_b AND t1 <> t2").select("key_a", "key_b")
     return a.union(b)
