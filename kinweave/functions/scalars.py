@@ -32,10 +32,12 @@ def bround_median(x: Column | str) -> Column:
     return F.bround(F.median(_c(x))).cast("int")
 
 
-def upper_median(x: Column | str) -> Column:
-    """Upper median of the non-NULL values, an aggregate (OP-034). The multiset is aggregated, so one group is one row."""
-    ys = F.sort_array(F.collect_list(_c(x)))
-    return F.when(F.size(ys) > 0, F.element_at(ys, (F.floor(F.size(ys) / 2) + 1).cast("int")))
+def upper_median(x: str) -> Column:
+    """Upper median of the non-NULL values of a column, an aggregate (OP-034): the middle one, the greater of two.
+
+    The state of the aggregate is one counter per distinct value, so a hot group stays as small as the range of years.
+    """
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}` DESC)").cast("int")
 
 
 def clip(x: Column | str, lo: float | None = None, hi: float | None = None) -> Column:

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.relational import spread_left_join
 from kinweave.runtime import checkpoint
 
 
@@ -67,14 +68,14 @@ def dictionary(df: DataFrame, d: Dependency) -> DataFrame:
     return own.where("k = 1").drop("k")
 
 
-def fill_by_dependencies(df: DataFrame, target: str, verified: list[Verified]) -> DataFrame:
+def fill_by_dependencies(df: DataFrame, target: str, verified: list[Verified], key: str = "id") -> DataFrame:
     """Adds {target}_filled and {target}_source ('observed', 'fd:a,b' or NULL where no dictionary knows the value)."""
     value, source = F.col(target), F.when(F.col(target).isNotNull(), F.lit("observed"))
     out = df
     for i, v in enumerate(x for x in verified if x.dependency.target == target):
         d, name = v.dependency, f"__fd_{target}_{i}"
         own = dictionary(df, d).withColumnRenamed("value", name)
-        out = out.join(own, list(d.determinants), "left")
+        out = spread_left_join(out, own, list(d.determinants), key)
         source = F.coalesce(source, F.when(F.col(name).isNotNull(), F.lit("fd:" + ",".join(d.determinants))))
         value = F.coalesce(value, F.col(name))
     return out.select(*df.columns, value.alias(f"{target}_filled"), source.alias(f"{target}_source"))
@@ -140,7 +141,7 @@ def fill_persons(persons: DataFrame, parents: DataFrame, spouses: DataFrame, lab
     estimates.append(links.join(brood, "parent_id").select(F.col("child_id").alias("id"), "e"))
     kin = reduce(DataFrame.union, estimates).groupBy("id").agg(F.avg("e").alias("kin"))
     house = base.where("dynasty IS NOT NULL").groupBy("dynasty").agg(F.avg("birth").alias("house_birth"), F.avg("death").alias("house_death"), F.avg("birth_imputed").alias("house_bi"), F.avg("death_imputed").alias("house_di"))
-    out = out.join(kin, "id", "left").join(house, "dynasty", "left")
+    out = spread_left_join(out.join(kin, "id", "left"), house, ["dynasty"], "id")
 
     def pick(observed: str, steps: list[tuple[str, Column]]) -> tuple[Column, Column]:
         value, source = F.col(f"{observed}_filled"), F.col(f"{observed}_source")

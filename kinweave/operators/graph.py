@@ -10,11 +10,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import connected_components
-from kinweave.operators.relational import set_sizes
+from kinweave.operators.relational import set_sizes, with_row_no
 from kinweave.runtime import checkpoint, discard
 
 
@@ -224,8 +223,7 @@ def patrilines(fathers: DataFrame, order: DataFrame | None = None) -> DataFrame:
         first = comp.join(order, comp["node"] == order["id"]).groupBy("component").agg(F.min("row_no").alias("k"))
     else:
         first = comp.select("component").distinct().withColumn("k", F.col("component"))
-    # one row per component; numbers by a two-level count would serve if there were very many
-    numbered = first.withColumn("n", F.dense_rank().over(W.orderBy("k")) - 1).select("component", "n")
+    numbered = with_row_no(first, [F.col("k"), F.col("component")]).select("component", F.col("row_no").alias("n"))
     return comp.join(numbered, "component").select(F.col("node").alias("id"), F.concat(F.lit("PL"), F.col("n")).alias("label"))
 
 

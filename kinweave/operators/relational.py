@@ -143,6 +143,18 @@ def pairs_in_group(df: DataFrame, group: str, member: str, value: str) -> DataFr
     return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.min(F.least("va", "vb")).alias("value"))
 
 
+def spread_left_join(df: DataFrame, right: DataFrame, on: list[str], by: str, parts: int = 256) -> DataFrame:
+    """Left join whose rows with a NULL key, which match nothing, are spread by a hash of another column.
+
+    A shuffle would send all of them to one task.
+    """
+    null = F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    left = df.withColumn("__spread", F.when(null, F.pmod(F.xxhash64(by), F.lit(parts)) + 1).otherwise(F.lit(0).cast("long")))
+    return left.join(right.withColumn("__spread", F.lit(0).cast("long")), [*on, "__spread"], "left").drop("__spread")
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task: int = 100_000) -> DataFrame:
     """Inner equi-join in which a hot key of the left side is split over several tasks.
 

@@ -218,3 +218,15 @@ def test_salted_join_splits_hot_keys(spark):
     got = relational.salted_join(left, right, ["k"], rows_per_task=100)
     assert sorted(map(tuple, got.select("k", "x", "v").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "x", "v").collect()))
     assert relational.salted_join(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_spread_left_join_keeps_null_keys(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "b", None), (4, "z", 1)], "id int, k string, y int")
+    right = spark.createDataFrame([("a", 5, "hit"), (None, 5, "never")], "k string, y int, v string")
+    got = {r["id"]: r["v"] for r in relational.spread_left_join(left, right, ["k", "y"], "id").collect()}
+    assert got == {1: "hit", 2: None, 3: None, 4: None}
+
+
+def test_upper_median(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 4), ("a", 9), ("b", 3), ("b", None), ("c", None)], "k string, y int")
+    assert {r["k"]: r["m"] for r in df.groupBy("k").agg(S.upper_median("y").alias("m")).collect()} == {"a": 4, "b": 3, "c": None}
