@@ -70,7 +70,20 @@ def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.8
     scored = _scored(pairs)
     # two abbreviations tell less: then both years have to speak for it
     both = "(birth IS NOT NULL AND birth2 IS NOT NULL AND death IS NOT NULL AND death2 IS NOT NULL)"
-    links = scored.where(f"p >= {min_place} AND e >= 0.85 AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2) AND {both}) OR (g >= 0.8 AND (short OR short2)))").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    good = scored.where(f"p >= {min_place} AND e >= 0.85 AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2) AND {both}) OR (g >= 0.8 AND (short OR short2)))")
+    apart = F.coalesce(F.abs(F.col("birth") - F.col("birth2")), F.lit(1)) + F.coalesce(F.abs(F.col("death") - F.col("death2")), F.lit(1))
+    good = checkpoint(good.select("rep", "rep2", "short", "short2", "cls", "cls2", apart.alias("apart")))
+    # an abbreviation that fits several full names means the one whose years are nearest, or none if that is no single one
+    ends = good.where("short <> short2").select(F.when(F.col("short"), F.col("rep")).otherwise(F.col("rep2")).alias("abbr"), F.when(F.col("short"), F.col("cls2")).otherwise(F.col("cls")).alias("full"), "apart")
+    per = ends.groupBy("abbr", "full").agg(F.min("apart").alias("apart"))
+    best = per.groupBy("abbr").agg(F.min("apart").alias("least"), F.min_by("full", "apart").alias("meant"))
+    ties = per.join(best, "abbr").groupBy("abbr").agg(F.count_if(F.col("apart") == F.col("least")).alias("k"), F.first("meant").alias("meant"))
+    told = ties.select("abbr", F.when(F.col("k") == 1, F.col("meant")).alias("meant"))
+    marked = good.withColumn("abbr", F.when(F.col("short") & ~F.col("short2"), F.col("rep")).when(~F.col("short") & F.col("short2"), F.col("rep2"))).withColumn("full", F.when(F.col("short"), F.col("cls2")).otherwise(F.col("cls")))
+    fit = marked.where("abbr IS NOT NULL").join(told, "abbr").where("meant = full").select("rep", "rep2")
+    vague = told.where("meant IS NULL").select(F.col("abbr").alias("rep"))
+    rest = marked.where("abbr IS NULL").select("rep", "rep2").join(vague, "rep", "left_anti").join(vague.withColumnRenamed("rep", "rep2"), "rep2", "left_anti").select("rep", "rep2")
+    links = fit.unionByName(rest).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     comp = connected_components(checkpoint(links), "a", "b")
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     same = [F.col(c).eqNullSafe(F.col("r_" + c)) for c in parts]
