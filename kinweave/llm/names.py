@@ -44,7 +44,7 @@ def fold_text(text: str) -> str:
 
 
 #: For names and other short text that comes again and again.
-fold = lru_cache(maxsize=200_000)(fold_text)
+fold = lru_cache(maxsize=20_000)(fold_text)
 
 
 def sound(word: str) -> str:

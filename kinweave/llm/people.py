@@ -44,7 +44,9 @@ def mine_classes(people: DataFrame, quotes: DataFrame, min_share: float = 0.5, m
     """
     seen = quotes.where("NOT short AND person_id IS NOT NULL").select("person_id", F.col("stem").alias("cls"), F.col("given").alias("latin"))
     own = people.where("NOT short").select(F.col("id").alias("person_id"), "given")
-    counts = checkpoint(seen.join(own, "person_id").groupBy("given", "cls", "latin").agg(F.count("*").alias("n")))
+    # counted per person first: a person with very many quotes meets the join as a few rows
+    seen = seen.groupBy("person_id", "cls", "latin").agg(F.count("*").alias("n"))
+    counts = checkpoint(seen.join(own, "person_id").groupBy("given", "cls", "latin").agg(F.sum("n").alias("n")))
     per = counts.groupBy("given", "cls").agg(F.sum("n").alias("n"))
     top = per.groupBy("given").agg(F.max_by("cls", F.struct("n", "cls")).alias("cls"), F.max("n").alias("n"), F.sum("n").alias("all"))
     common = counts.groupBy("cls").agg(F.sum("n").alias("m"), F.max_by("latin", F.struct("n", "latin")).alias("latin")).where(F.col("m") >= min_class)
@@ -82,7 +84,7 @@ def prepare(persons_df: DataFrame, quotes: DataFrame) -> People:
     return People(checkpoint(classed(who, classes)), checkpoint(classed(said, latin_classes(said, classes))))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=50_000)
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -109,7 +111,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=20_000)
 def given_similarity(a: str, a_cls: str, a_latin: str, a_short: bool, b: str, b_cls: str, b_latin: str, b_short: bool) -> float:
     """1 for one class, Jaro-Winkler of the spellings otherwise; abbreviations agree with what they begin."""
     if not a or not b:
@@ -136,7 +138,7 @@ def given_similarity(a: str, a_cls: str, a_latin: str, a_short: bool, b: str, b_
     return max(jaro_winkler(a_cls, b_cls), jaro_winkler(names.sound(a), names.sound(b)) if a and b else 0.0, jaro_winkler(names.sound(a), names.sound(b_latin)), jaro_winkler(names.sound(b), names.sound(a_latin)))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=20_000)
 def place_similarity(a: str, b: str) -> float:
     """Jaro-Winkler of the stems; a misspelled ending leaves one stem the beginning of the other."""
     if not a or not b:

@@ -75,7 +75,7 @@ def _read(sentence: str) -> frozenset[str]:
 
 
 #: Formulas come again in many letters.
-_sentence = lru_cache(maxsize=100_000)(_read)
+_sentence = lru_cache(maxsize=30_000)(_read)
 
 
 def _label(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:

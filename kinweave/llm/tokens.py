@@ -26,7 +26,7 @@ MAX_VOCABULARY_BYTES = 16_000_000
 WORDS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _WORD_END = regex.compile(r"(?r)(?<=\P{White_Space})\p{White_Space}")
 BLOCK = 65_536
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 SHORT = 48
 
 
@@ -57,7 +57,7 @@ class Transducer:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[key] = self._merge(self.word[a] + self.word[b]) == [a, b]
         return known
