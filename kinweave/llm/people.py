@@ -160,7 +160,11 @@ def initials(*cols: str):
     return F.array_distinct(F.array(*coarse))
 
 
-def place_keys(place: str = "place"):
-    """Two block keys of a place: how it begins and how it ends, in coarse spelling; one slip spares one of them."""
+def place_keys(place: str = "place", middle: bool = False):
+    """Block keys of a place: how it begins and how it ends, in coarse spelling; one slip spares one of them.
+
+    middle adds a third key, for text so short of context that two slips have to be borne.
+    """
     coarse = F.regexp_replace(F.regexp_replace(F.translate(F.regexp_replace(F.regexp_replace(F.col(place), "ph", "f"), "th", "t"), "ykjvwhft", "iciuu"), "[aeo]e", "e"), "(.)\\1+", "$1")
-    return F.array_distinct(F.array(F.concat(F.lit("a:"), F.substring(coarse, 1, 4)), F.concat(F.lit("z:"), F.substring(coarse, -4, 4)), F.concat(F.lit("m:"), F.substring(coarse, 3, 4))))
+    keys = [F.concat(F.lit("a:"), F.substring(coarse, 1, 4)), F.concat(F.lit("z:"), F.substring(coarse, -4, 4))]
+    return F.array_distinct(F.array(*keys, *([F.concat(F.lit("m:"), F.substring(coarse, 3, 4))] if middle else [])))

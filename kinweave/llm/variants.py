@@ -38,11 +38,6 @@ def _scored(pairs: DataFrame) -> DataFrame:
 
 
 
-def _codes() -> list:
-    """Phonetic codes of the sorted name tokens: the given name's, and the three of the place."""
-    return P.place_keys("place")
-
-
 def _other(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c + "2") for c in df.columns])
 
@@ -60,16 +55,18 @@ def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.8
     # a block: a code of the place and a year, in steps so that years within max_years share one
     step = 2 * max_years + 1
     around = lambda y: F.array_distinct(F.array(F.floor(F.col(y) / step), F.floor((F.col(y) + max_years) / step)))
-    blocks = reps.withColumn("code", F.explode(_codes()))
+    blocks = reps.withColumn("code", F.explode(P.place_keys()))
     by_birth = blocks.where("birth IS NOT NULL").withColumn("b", F.explode(around("birth"))).withColumn("block", F.concat_ws("|", F.lit("b"), "code", "b")).drop("b", "code")
     by_death = blocks.where("death IS NOT NULL").withColumn("b", F.explode(around("death"))).withColumn("block", F.concat_ws("|", F.lit("d"), "code", "b")).drop("b", "code")
     keyed = by_birth.unionByName(by_death)
-    pairs = keyed.join(_other(keyed).withColumnRenamed("block2", "block"), "block").where("rep < rep2").drop("block")
+    # blocks are joined with what rules pairs out; the other parts are joined to the pairs that are left
+    slim = keyed.select("block", "rep", "birth", "death", "numeral", "sex", "rank")
     near = lambda c: f"({c} IS NULL OR {c}2 IS NULL OR abs({c} - {c}2) <= {max_years})"
-    pairs = pairs.where(f"{near('birth')} AND {near('death')} AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2)").dropDuplicates(["rep", "rep2"])
-    scored = _scored(pairs)
+    pairs = slim.join(_other(slim).withColumnRenamed("block2", "block"), "block").where(f"rep < rep2 AND {near('birth')} AND {near('death')} AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2)")
+    pairs = pairs.select("rep", "rep2").distinct().join(reps, "rep").join(_other(reps), "rep2")
     # two abbreviations tell less: then both years have to speak for it
     both = "(birth IS NOT NULL AND birth2 IS NOT NULL AND death IS NOT NULL AND death2 IS NOT NULL)"
+    scored = _scored(pairs)
     good = scored.where(f"p >= {min_place} AND e >= 0.85 AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2) AND {both}) OR (g >= 0.8 AND (short OR short2)))")
     apart = F.coalesce(F.abs(F.col("birth") - F.col("birth2")), F.lit(1)) + F.coalesce(F.abs(F.col("death") - F.col("death2")), F.lit(1))
     good = checkpoint(good.select("rep", "rep2", "short", "short2", "cls", "cls2", apart.alias("apart")))
@@ -100,7 +97,7 @@ def variant_quotes(people: P.People, min_given: float = 0.86, min_place: float =
     usable = people.said.where("doc_id IS NOT NULL AND quoted_latin IS NOT NULL AND given <> '' AND place <> ''")
     parts = ["doc_id", *SIDE]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("match_id").alias("rep")))
-    keyed = reps.withColumn("codes", _codes()).withColumn("initials", P.initials("given", "latin", "cls")).withColumn("block", F.explode("codes"))
+    keyed = reps.withColumn("codes", P.place_keys(middle=True)).withColumn("initials", P.initials("given", "latin", "cls")).withColumn("block", F.explode("codes"))
     # kept at the first code that a pair shares
     pairs = keyed.join(_other(keyed).withColumnRenamed("block2", "block").withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "block"]).where("rep < rep2 AND block = array_intersect(codes, codes2)[0] AND arrays_overlap(initials, initials2)").drop("block", "codes", "codes2", "initials", "initials2")
     pairs = pairs.where("(sex = '' OR sex2 = '' OR sex = sex2) AND (rank IN ('', 'lord') OR rank2 IN ('', 'lord') OR rank = rank2) AND (numeral = numeral2 OR numeral = 0 OR numeral2 = 0)")
