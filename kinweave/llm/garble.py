@@ -141,7 +141,7 @@ def decode_spans(text: str, max_layers: int = 4) -> tuple[str, int]:
     return text, total
 
 
-_C1 = re.compile("[\x80-\x9f]")
+_C1 = re.compile("[\x80-\x84\x86-\x9f]")  # U+0085 is a line end
 WORD = re.compile(r"[^\s.,;:!?()\[\]{}\"/'’\-–—]+")
 _LATIN_LOWER = re.compile(r"[a-zß-öø-ÿœž]+\Z")
 

@@ -27,8 +27,8 @@ GREEK_TO_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιικνορυχγητ
 OTHER_TO_LATIN = {"ɑ": "a", "ɡ": "g", "ı": "i", "օ": "o", "ո": "n", "ս": "u", "հ": "h"}
 LATIN_FROM = CYRILLIC_TO_LATIN | GREEK_TO_LATIN | OTHER_TO_LATIN
 _COMPAT = re.compile("[！-～ﬀ-ﬆⅠ-ⅿ\U0001d400-\U0001d7ff]+")
-_BLANK = re.compile("[\u0009\u000b\u000c\u0085   -     　]")
-_UNSEEN = re.compile("[\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0100-\U000e01ef]")
+_BLANK = re.compile("[\t\u000b\u000c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")  # line ends are none
+_UNSEEN = re.compile("[\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0100-\U000e01ef]")
 _HYPHEN = re.compile("[‐‑]")
 _FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u1f00-\u1fff" + "".join(OTHER_TO_LATIN) + "]")
 _APART = re.compile("[^̀-ͯ][̀-ͯ]+")
