@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from kinweave.runtime import checkpoint, discard
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number and two order-free hash sums of a set of edges."""
+    h = lambda seed: F.xxhash64("u", "v", F.lit(seed))
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h(1)), F.sum(F.pmod(h(2), F.lit(2**31)))).first())
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each component, for all nodes with an edge.
 
@@ -18,6 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     loops = src.where("u = v").select(F.col("u").alias("node")).distinct()
     # every edge points from the larger node to the smaller one
     state = checkpoint(src.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = _mark(state)
     while True:
         # large star: the larger neighbours of a node go to its smallest neighbour
         both = state.union(state.select("v", "u"))
@@ -28,10 +35,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         small = checkpoint(small)
-        done = small.exceptAll(state).isEmpty() and state.exceptAll(small).isEmpty()
         discard(large, state)
-        state = small
-        if done:
+        state, last, mark = small, mark, _mark(small)
+        if mark == last:  # nothing moved
             break
     roots = state.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     out = state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
