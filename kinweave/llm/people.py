@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,10 +71,11 @@ def classed(df: DataFrame, classes: DataFrame) -> DataFrame:
 
 @dataclass
 class People:
-    """Parsed and classed persons (one row per id) and quotes (one row per match_id), each written once."""
+    """Parsed and classed persons (one row per id), quotes (one row per match_id) and like places, each written once."""
 
     who: DataFrame
     said: DataFrame
+    near: DataFrame
 
 
 def prepare(persons_df: DataFrame, quotes: DataFrame) -> People:
@@ -81,7 +84,8 @@ def prepare(persons_df: DataFrame, quotes: DataFrame) -> People:
     rows = quotes.where("match_id IS NOT NULL").groupBy("match_id").agg(F.min(F.struct("doc_id", "doc_year", "person_id", "quoted_latin")).alias("r")).select("match_id", "r.*")
     said = checkpoint(parsed(rows, "quoted_latin"))
     classes = checkpoint(mine_classes(who, said))
-    return People(checkpoint(classed(who, classes)), checkpoint(classed(said, latin_classes(said, classes))))
+    near = checkpoint(near_places(who.select("place").union(said.select("place"))))
+    return People(checkpoint(classed(who, classes)), checkpoint(classed(said, latin_classes(said, classes))), near)
 
 
 @lru_cache(maxsize=50_000)
@@ -160,11 +164,59 @@ def initials(*cols: str):
     return F.array_distinct(F.array(*coarse))
 
 
-def place_keys(place: str = "place", middle: bool = False):
-    """Block keys of a place: how it begins and how it ends, in coarse spelling; one slip spares one of them.
+def _letters(words: list[str], column: dict) -> np.ndarray:
+    """A row per word, a column per letter and how often it has come: two rows' product is the letters in common."""
+    out = np.zeros((len(words), len(column)), dtype="float32")
+    for i, w in enumerate(words):
+        seen: dict = {}
+        for c in w:
+            seen[c] = seen.get(c, 0) + 1
+            out[i, column[c, seen[c]]] = 1.0
+    return out
 
-    middle adds a third key, for text so short of context that two slips have to be borne.
+
+def like_places(a: list[str], b: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of all places a[i], b[j] whose place_similarity is at least least.
+
+    Jaro-Winkler can't reach the threshold with fewer letters in common than its formula asks for, so what one matrix
+    product rules out needs no comparison; the bound is exact, nothing is lost.
+    """
+    x, y = [names.sound(t) for t in a], [names.sound(t) for t in b]
+    column: dict = {}
+    for w in (*x, *y):
+        seen: dict = {}
+        for c in w:
+            seen[c] = seen.get(c, 0) + 1
+            column.setdefault((c, seen[c]), len(column))
+    common = _letters(x, column) @ _letters(y, column).T
+    size = lambda words: np.array([max(1, len(w)) for w in words], dtype="float32")
+    start = lambda words, pad: np.array([[ord(w[k]) if k < len(w) else pad for k in range(4)] for w in words], dtype="int32").reshape(-1, 4)
+    same = np.cumprod(start(x, -1)[:, None, :] == start(y, -2)[None, :, :], axis=2, dtype="int8").sum(axis=2)
+    jaro = (least - 0.1 * same) / (1 - 0.1 * same)
+    may = common * (1 / size(x)[:, None] + 1 / size(y)[None, :]) >= 3 * jaro - 1 - 1e-4
+    out = []
+    for i, j in zip(*np.nonzero(may), strict=True):
+        p = place_similarity(a[i], b[j])
+        if p >= least:
+            out.append((int(i), int(j), p))
+    return out
+
+
+def near_places(df: DataFrame, least: float = 0.86, tile: int = 1000) -> DataFrame:
+    """(place, place2) of all places of df, in both directions and with themselves, that place_similarity finds alike.
+
+    Every pair of distinct places is judged, tile by tile, so that no slip in a place parts a pair from its block.
     """
-    coarse = F.regexp_replace(F.regexp_replace(F.translate(F.regexp_replace(F.regexp_replace(F.col(place), "ph", "f"), "th", "t"), "ykjvwhft", "iciuu"), "[aeo]e", "e"), "(.)\\1+", "$1")
-    keys = [F.concat(F.lit("a:"), F.substring(coarse, 1, 4)), F.concat(F.lit("z:"), F.substring(coarse, -4, 4))]
-    return F.array_distinct(F.array(*keys, *([F.concat(F.lit("m:"), F.substring(coarse, 3, 4))] if middle else [])))
+    words = checkpoint(df.where("place <> ''").distinct())
+    tiles = max(1, math.ceil(words.count() / tile))
+    own = F.pmod(F.xxhash64("place"), F.lit(tiles)).cast("int")
+    dealt = words.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("place", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = (sorted(rows.loc[rows["own"] == k, "place"]) for k in key)
+        found = [(a[i], b[j]) for i, j, _ in like_places(a, b, least)]
+        if key[0] != key[1]:
+            found += [(q, p) for p, q in found]
+        return pd.DataFrame(found, columns=["place", "place2"])
+
+    return dealt.groupBy("i", "j").applyInPandas(judge, "place string, place2 string")

@@ -1,7 +1,7 @@
 """Variant spellings of names: which entries, and which quotes of one letter, mean one person.
 
-Records that agree in all parts are one representative each. Representatives are blocked by phonetic codes of their
-name tokens (place and given name) with the years, compared in given name (nickname table, Jaro-Winkler), place,
+Records that agree in all parts are one representative each. Representatives meet where their places are alike (all
+pairs of distinct places are judged, see people.near_places) and their years near; they are compared in given name (nickname table, Jaro-Winkler), place,
 numeral, epithet, rank, sex and years, and the accepted pairs are clustered by connected components.
 """
 
@@ -52,17 +52,17 @@ def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.8
     usable = people.who.where("given <> '' AND place <> '' AND (birth IS NOT NULL OR death IS NOT NULL)")
     parts = [*SIDE, "birth", "death"]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("id").alias("rep")))
-    # a block: a code of the place and a year, in steps so that years within max_years share one
+    # a block: a place and a year, in steps so that years within max_years share one; the left side stands in the blocks of
+    # all places like its own
     step = 2 * max_years + 1
     around = lambda y: F.array_distinct(F.array(F.floor(F.col(y) / step), F.floor((F.col(y) + max_years) / step)))
-    blocks = reps.withColumn("code", F.explode(P.place_keys()))
-    by_birth = blocks.where("birth IS NOT NULL").withColumn("b", F.explode(around("birth"))).withColumn("block", F.concat_ws("|", F.lit("b"), "code", "b")).drop("b", "code")
-    by_death = blocks.where("death IS NOT NULL").withColumn("b", F.explode(around("death"))).withColumn("block", F.concat_ws("|", F.lit("d"), "code", "b")).drop("b", "code")
-    keyed = by_birth.unionByName(by_death)
+    marks = lambda c: F.when(F.col(c).isNotNull(), F.transform(around(c), lambda y: F.concat(F.lit(c[0]), y.cast("string")))).otherwise(F.array().cast("array<string>"))
+    years = F.concat(marks("birth"), marks("death"))
+    keyed = reps.withColumn("block", F.explode(years))
     # blocks are joined with what rules pairs out; the other parts are joined to the pairs that are left
-    slim = keyed.select("block", "rep", "birth", "death", "numeral", "sex", "rank")
+    slim = keyed.select("block", "place", "rep", "birth", "death", "numeral", "sex", "rank")
     near = lambda c: f"({c} IS NULL OR {c}2 IS NULL OR abs({c} - {c}2) <= {max_years})"
-    pairs = slim.join(_other(slim).withColumnRenamed("block2", "block"), "block").where(f"rep < rep2 AND {near('birth')} AND {near('death')} AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2)")
+    pairs = slim.join(people.near, "place").join(_other(slim).withColumnRenamed("block2", "block"), ["block", "place2"]).where(f"rep < rep2 AND {near('birth')} AND {near('death')} AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2)")
     pairs = pairs.select("rep", "rep2").distinct().join(reps, "rep").join(_other(reps), "rep2")
     # two abbreviations tell less: then both years have to speak for it
     both = "(birth IS NOT NULL AND birth2 IS NOT NULL AND death IS NOT NULL AND death2 IS NOT NULL)"
@@ -97,9 +97,8 @@ def variant_quotes(people: P.People, min_given: float = 0.86, min_place: float =
     usable = people.said.where("doc_id IS NOT NULL AND quoted_latin IS NOT NULL AND given <> '' AND place <> ''")
     parts = ["doc_id", *SIDE]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("match_id").alias("rep")))
-    keyed = reps.withColumn("codes", P.place_keys(middle=True)).withColumn("initials", P.initials("given", "latin", "cls")).withColumn("block", F.explode("codes"))
-    # kept at the first code that a pair shares
-    pairs = keyed.join(_other(keyed).withColumnRenamed("block2", "block").withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "block"]).where("rep < rep2 AND block = array_intersect(codes, codes2)[0] AND arrays_overlap(initials, initials2)").drop("block", "codes", "codes2", "initials", "initials2")
+    keyed = reps.withColumn("initials", P.initials("given", "latin", "cls"))
+    pairs = keyed.join(people.near, "place").join(_other(keyed).withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "place2"]).where("rep < rep2 AND arrays_overlap(initials, initials2)").drop("initials", "initials2")
     pairs = pairs.where("(sex = '' OR sex2 = '' OR sex = sex2) AND (rank IN ('', 'lord') OR rank2 IN ('', 'lord') OR rank = rank2) AND (numeral = numeral2 OR numeral = 0 OR numeral2 = 0)")
     good = checkpoint(_scored(pairs).where(f"p >= {min_place} AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2)))").select("rep", "rep2", "short", "short2", "g", "cls", "cls2", "given", "given2"))
     # an abbreviation next to two different full names of its letter says nothing

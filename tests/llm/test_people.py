@@ -111,3 +111,19 @@ def test_assign(spark):
     assert got == {("1", "inheritance"), ("2", "secular_territorial"), ("2", "inheritance"), ("4", "other")}
     assert subjects.assign(df.limit(0), codes, areas).count() == 0
     assert subjects.assign(df, codes.limit(0), areas.limit(0)).count() == 0
+
+
+def test_near_places_lose_nothing(spark):
+    rng = random.Random(4)
+    stems = ["".join(rng.choice(["sa", "glu", "cho", "gr", "pe", "tro", "ni", "vu"]) for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    words = sorted({*stems, *(w[:k] + rng.choice("aeioust") + w[k + 1 :] for w in stems for k in (0, len(w) // 2)), "saglucogr", "seglucog", "nesiv", "nesivefur"})
+    got = {tuple(r) for r in people.near_places(spark.createDataFrame([(w,) for w in [*words, ""]], "place string"), tile=90).collect()}
+    assert got == {(a, b) for a in words for b in words if people.place_similarity(a, b) >= 0.86}
+
+
+def test_two_slips_in_a_place(spark):
+    persons = [("p1", "Guillaume de Sagluchogroux", "M", 1100, 1150, 0, 0, 1), ("p2", "Guillaume de Segluchogray", "M", 1100, 1150, 0, 0, 1)]
+    quotes = [("q1", "x", 1130, None, "Guillaume Segluchogensis", 1)]
+    persons, quotes = spark.createDataFrame(persons, PERSONS), spark.createDataFrame(quotes, MATCHES)
+    assert [tuple(r) for r in variants.variant_pairs(persons, quotes).collect()] == [("p1", "p2")]
+    assert {r["match_id"] for r in linkage.link(quotes, persons.where("id = 'p1'")).where("accepted").collect()} == {"q1"}
