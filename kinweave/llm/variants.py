@@ -42,6 +42,16 @@ def _other(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c + "2") for c in df.columns])
 
 
+def _components(pairs: DataFrame) -> DataFrame:
+    return connected_components(checkpoint(pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))), "a", "b")
+
+
+def _ends(pairs: DataFrame, person: DataFrame) -> DataFrame:
+    """(abbr, name, full, ...) of the pairs of an abbreviation and a full name; full is the person that the name belongs to."""
+    out = pairs.where("short <> short2").withColumn("abbr", F.when(F.col("short"), F.col("rep")).otherwise(F.col("rep2"))).withColumn("name", F.when(F.col("short"), F.col("rep2")).otherwise(F.col("rep"))).drop("rep", "rep2", "short", "short2")
+    return out.join(person.select(F.col("node").alias("name"), F.col("component").alias("full")), "name", "left").withColumn("full", F.coalesce("full", "name"))
+
+
 def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.86, min_place: float = 0.88) -> DataFrame:
     """(id, component): ids that record one person carry one component (the smallest representative).
 
@@ -69,17 +79,18 @@ def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.8
     scored = _scored(pairs)
     good = scored.where(f"p >= {min_place} AND e >= 0.85 AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2) AND {both}) OR (g >= 0.8 AND (short OR short2)))")
     apart = F.coalesce(F.abs(F.col("birth") - F.col("birth2")), F.lit(1)) + F.coalesce(F.abs(F.col("death") - F.col("death2")), F.lit(1))
-    good = checkpoint(good.select("rep", "rep2", "short", "short2", "cls", "cls2", apart.alias("apart")))
-    # an abbreviation that fits several full names means the one whose years are nearest, or none if that is no single one
-    ends = good.where("short <> short2").select(F.when(F.col("short"), F.col("rep")).otherwise(F.col("rep2")).alias("abbr"), F.when(F.col("short"), F.col("cls2")).otherwise(F.col("cls")).alias("full"), "apart")
+    good = checkpoint(good.select("rep", "rep2", "short", "short2", apart.alias("apart")))
+    person = _components(good.where("NOT short AND NOT short2"))
+    # an abbreviation that fits several persons of full names means the one whose years are nearest, or none if that is no single one;
+    # all spellings that are linked are one person
+    ends = checkpoint(_ends(good, person))
     per = ends.groupBy("abbr", "full").agg(F.min("apart").alias("apart"))
     best = per.groupBy("abbr").agg(F.min("apart").alias("least"), F.min_by("full", "apart").alias("meant"))
     ties = per.join(best, "abbr").groupBy("abbr").agg(F.count_if(F.col("apart") == F.col("least")).alias("k"), F.first("meant").alias("meant"))
     told = ties.select("abbr", F.when(F.col("k") == 1, F.col("meant")).alias("meant"))
-    marked = good.withColumn("abbr", F.when(F.col("short") & ~F.col("short2"), F.col("rep")).when(~F.col("short") & F.col("short2"), F.col("rep2"))).withColumn("full", F.when(F.col("short"), F.col("cls2")).otherwise(F.col("cls")))
-    fit = marked.where("abbr IS NOT NULL").join(told, "abbr").where("meant = full").select("rep", "rep2")
+    fit = ends.join(told, "abbr").where("meant = full").select(F.col("abbr").alias("rep"), F.col("name").alias("rep2"))
     vague = told.where("meant IS NULL").select(F.col("abbr").alias("rep"))
-    rest = marked.where("abbr IS NULL").select("rep", "rep2").join(vague, "rep", "left_anti").join(vague.withColumnRenamed("rep", "rep2"), "rep2", "left_anti").select("rep", "rep2")
+    rest = good.where("short = short2").select("rep", "rep2").join(vague, "rep", "left_anti").join(vague.withColumnRenamed("rep", "rep2"), "rep2", "left_anti").select("rep", "rep2")
     links = fit.unionByName(rest).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     comp = connected_components(checkpoint(links), "a", "b")
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -100,10 +111,10 @@ def variant_quotes(people: P.People, min_given: float = 0.86, min_place: float =
     keyed = reps.withColumn("initials", P.initials("given", "latin", "cls"))
     pairs = keyed.join(people.near, "place").join(_other(keyed).withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "place2"]).where("rep < rep2 AND arrays_overlap(initials, initials2)").drop("initials", "initials2")
     pairs = pairs.where("(sex = '' OR sex2 = '' OR sex = sex2) AND (rank IN ('', 'lord') OR rank2 IN ('', 'lord') OR rank = rank2) AND (numeral = numeral2 OR numeral = 0 OR numeral2 = 0)")
-    good = checkpoint(_scored(pairs).where(f"p >= {min_place} AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2)))").select("rep", "rep2", "short", "short2", "g", "cls", "cls2", "given", "given2"))
-    # an abbreviation next to two different full names of its letter says nothing
-    ends = good.where("short <> short2").select(F.when(F.col("short"), F.col("rep")).otherwise(F.col("rep2")).alias("rep"), F.when(F.col("short"), F.col("cls2")).otherwise(F.col("cls")).alias("full"))
-    vague = ends.groupBy("rep").agg(F.count_distinct("full").alias("k")).where("k > 1").select("rep")
+    good = checkpoint(_scored(pairs).where(f"p >= {min_place} AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2)))").select("rep", "rep2", "short", "short2"))
+    # an abbreviation next to two persons of full names in its letter says nothing; spellings that are linked are one
+    ends = _ends(good, _components(good.where("NOT short AND NOT short2")))
+    vague = checkpoint(ends.groupBy(F.col("abbr").alias("rep")).agg(F.count_distinct("full").alias("k")).where("k > 1").select("rep"))
     links = good.join(vague, "rep", "left_anti").join(vague.withColumnRenamed("rep", "rep2"), "rep2", "left_anti").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     comp = connected_components(checkpoint(links), "a", "b")
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
