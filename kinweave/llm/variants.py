@@ -17,6 +17,8 @@ from kinweave.llm import people as P
 from kinweave.operators.components import connected_components
 from kinweave.runtime import checkpoint
 
+LIFE = 95
+SPAN = 50  # years of a block in which an entry with only a birth meets those with only a death
 SIDE = ("given", "cls", "latin", "short", "numeral", "epithet", "place", "rank", "sex")
 
 
@@ -52,11 +54,26 @@ def _ends(pairs: DataFrame, person: DataFrame) -> DataFrame:
     return out.join(person.select(F.col("node").alias("name"), F.col("component").alias("full")), "name", "left").withColumn("full", F.coalesce("full", "name"))
 
 
+def _over_gaps(gaps: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame:
+    """The pairs of an entry with only a birth and one with only a death whose persons, so far, have no year of the other
+    kind and no other such partner: namesakes of one place and time can't be told apart by that little."""
+    whole = reps.join(person.withColumnRenamed("node", "rep"), "rep", "left").withColumn("person", F.coalesce("component", "rep"))
+    known = whole.groupBy("person").agg(F.max("birth").alias("birth"), F.max("death").alias("death"))
+    of = checkpoint(whole.select("rep", "person").join(known.select("person", (F.col("birth").isNull() | F.col("death").isNull()).alias("half")), "person"))
+    met = gaps.join(of, "rep").join(_other(of), "rep2").where("half AND half2")
+    both = checkpoint(met.select("rep", "rep2", "person", "person2").unionByName(met.select("rep", "rep2", F.col("person2").alias("person"), F.col("person").alias("person2"))))
+    many = both.groupBy("person").agg(F.count_distinct("person2").alias("k")).where("k > 1").select("person")
+    sure = both.join(many, "person", "left_anti").join(many.withColumnRenamed("person", "person2"), "person2", "left_anti").select("rep", "rep2").distinct()
+    return sure.select("rep", "rep2", F.lit(False).alias("short"), F.lit(False).alias("short2"), F.lit(2).alias("apart"))
+
+
 def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.86, min_place: float = 0.88) -> DataFrame:
     """(id, component): ids that record one person carry one component (the smallest representative).
 
     Only ids with a given name, a place and at least one year can be linked: without a year namesakes can't be told
-    apart. Years may differ by max_years; numerals and epithets have to agree. NULL names, empty tables and repeated
+    apart. Years may differ by max_years; numerals and epithets have to agree. Persons with only births and persons with
+    only deaths are linked by full names if the two years make a life of at most LIFE years and neither has another
+    such partner. NULL names, empty tables and repeated
     rows give no links.
     """
     usable = people.who.where("given <> '' AND place <> '' AND (birth IS NOT NULL OR death IS NOT NULL)")
@@ -67,19 +84,23 @@ def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.8
     step = 2 * max_years + 1
     around = lambda y: F.array_distinct(F.array(F.floor(F.col(y) / step), F.floor((F.col(y) + max_years) / step)))
     marks = lambda c: F.when(F.col(c).isNotNull(), F.transform(around(c), lambda y: F.concat(F.lit(c[0]), y.cast("string")))).otherwise(F.array().cast("array<string>"))
-    years = F.concat(marks("birth"), marks("death"))
+    lives = F.when(F.col("death").isNull(), F.sequence(F.floor(F.col("birth") / SPAN), F.floor((F.col("birth") + LIFE) / SPAN))).when(F.col("birth").isNull(), F.array(F.floor(F.col("death") / SPAN))).otherwise(F.array().cast("array<bigint>"))
+    years = F.concat(marks("birth"), marks("death"), F.transform(lives, lambda y: F.concat(F.lit("l"), y.cast("string"))))
     keyed = reps.withColumn("block", F.explode(years))
     # blocks are joined with what rules pairs out; the other parts are joined to the pairs that are left
     slim = keyed.select("block", "place", "rep", "birth", "death", "numeral", "sex", "rank")
     near = lambda c: f"({c} IS NULL OR {c}2 IS NULL OR abs({c} - {c}2) <= {max_years})"
-    pairs = slim.join(people.near, "place").join(_other(slim).withColumnRenamed("block2", "block"), ["block", "place2"]).where(f"rep < rep2 AND {near('birth')} AND {near('death')} AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2)")
+    gap = "(birth IS NULL AND death2 IS NULL OR death IS NULL AND birth2 IS NULL)"
+    pairs = slim.join(people.near, "place").join(_other(slim).withColumnRenamed("block2", "block"), ["block", "place2"]).where(f"rep < rep2 AND {near('birth')} AND {near('death')} AND (NOT {gap} OR coalesce(death, death2) - coalesce(birth, birth2) BETWEEN 0 AND {LIFE}) AND (block NOT LIKE 'l%' OR {gap}) AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2)")
     pairs = pairs.select("rep", "rep2").distinct().join(reps, "rep").join(_other(reps), "rep2")
     # two abbreviations tell less: then both years have to speak for it
     both = "(birth IS NOT NULL AND birth2 IS NOT NULL AND death IS NOT NULL AND death2 IS NOT NULL)"
     scored = _scored(pairs)
     good = scored.where(f"p >= {min_place} AND e >= 0.85 AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2) AND {both}) OR (g >= 0.8 AND (short OR short2)))")
     apart = F.coalesce(F.abs(F.col("birth") - F.col("birth2")), F.lit(1)) + F.coalesce(F.abs(F.col("death") - F.col("death2")), F.lit(1))
-    good = checkpoint(good.select("rep", "rep2", "short", "short2", apart.alias("apart")))
+    good = checkpoint(good.select("rep", "rep2", "short", "short2", apart.alias("apart"), F.expr(gap).alias("gap")))
+    gaps, good = good.where("gap AND NOT short AND NOT short2").select("rep", "rep2"), good.where("NOT gap").drop("gap")
+    good = checkpoint(good.unionByName(_over_gaps(gaps, reps, _components(good.where("NOT short AND NOT short2")))))
     person = _components(good.where("NOT short AND NOT short2"))
     # an abbreviation that fits several persons of full names means the one whose years are nearest, or none if that is no single one;
     # all spellings that are linked are one person

@@ -135,3 +135,13 @@ def test_abbreviation_beside_two_spellings(spark):
     got = {tuple(r) for r in variants.variant_pairs(spark.createDataFrame(persons, PERSONS), spark.createDataFrame(quotes, MATCHES)).collect()}
     # of two persons in a letter the initial still means none
     assert got == {("p1", "p2"), ("p1", "p3"), ("p2", "p3"), ("q1", "q2"), ("q1", "q3"), ("q2", "q3")}
+
+
+def test_birth_alone_against_death_alone(spark):
+    persons = [("p1", "Guillaume de Nesivefure", "M", 1100, None, 0, 0, 1), ("p2", "Guillaume de Nesivefure", "M", None, 1150, 0, 0, 1), ("p3", "Guillaume de Nesivefure", "M", None, 1300, 0, 0, 1), ("p4", "Guillaume de Nesivefure", "M", None, None, 0, 0, 1)]
+    # two that died in one life span: which is meant can't be told
+    persons += [("s1", "Hugues de Gigagusac", "M", 1100, None, 0, 0, 1), ("s2", "Hugues de Gigagusac", "M", None, 1150, 0, 0, 1), ("s3", "Hugues de Gigagusac", "M", None, 1180, 0, 0, 1)]
+    # a death already known
+    persons += [("t1", "Eudes de Varuzezure", "M", 1100, None, 0, 0, 1), ("t2", "Eudes de Varuzezure", "M", 1101, 1150, 0, 0, 1), ("t3", "Eudes de Varuzezure", "M", None, 1190, 0, 0, 1)]
+    got = {tuple(r) for r in variants.variant_pairs(spark.createDataFrame(persons, PERSONS), spark.createDataFrame([], MATCHES)).collect()}
+    assert got == {("p1", "p2"), ("t1", "t2")}
