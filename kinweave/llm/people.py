@@ -154,14 +154,8 @@ def place_similarity(a: str, b: str) -> float:
     return jaro_winkler(x, y)
 
 
-def initials(*cols: str):
-    """Letters a given name may begin with, in the spellings given; names whose sets don't meet can't agree.
-
-    Coarse spelling makes one letter of those that scribes exchange; w and g are one for Walter and Gualterius.
-    """
-    first = [F.substring(F.regexp_replace(F.col(c), pattern, ""), 1, 1) for c in cols for pattern in ("^=", "^=?h(?=.)")]
-    coarse = [F.translate(x, "ykjvwgtpf", "iciuuudpp") for x in first]
-    return F.array_distinct(F.array(*coarse))
+#: Of two rows with SIDE and SIDE2: the one case in which given_similarity is 0 whatever the spelling, two common names.
+AGREE = "NOT (cls LIKE '=%' AND cls2 LIKE '=%' AND cls <> cls2 AND NOT short AND NOT short2)"
 
 
 def _letters(words: list[str], column: dict) -> np.ndarray:

@@ -129,8 +129,7 @@ def variant_quotes(people: P.People, min_given: float = 0.86, min_place: float =
     usable = people.said.where("doc_id IS NOT NULL AND quoted_latin IS NOT NULL AND given <> '' AND place <> ''")
     parts = ["doc_id", *SIDE]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("match_id").alias("rep")))
-    keyed = reps.withColumn("initials", P.initials("given", "latin", "cls"))
-    pairs = keyed.join(people.near, "place").join(_other(keyed).withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "place2"]).where("rep < rep2 AND arrays_overlap(initials, initials2)").drop("initials", "initials2")
+    pairs = reps.join(people.near, "place").join(_other(reps).withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "place2"]).where(f"rep < rep2 AND {P.AGREE}")
     pairs = pairs.where("(sex = '' OR sex2 = '' OR sex = sex2) AND (rank IN ('', 'lord') OR rank2 IN ('', 'lord') OR rank = rank2) AND (numeral = numeral2 OR numeral = 0 OR numeral2 = 0)")
     good = checkpoint(_scored(pairs).where(f"p >= {min_place} AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2)))").select("rep", "rep2", "short", "short2"))
     # an abbreviation next to two persons of full names in its letter says nothing; spellings that are linked are one

@@ -145,3 +145,12 @@ def test_birth_alone_against_death_alone(spark):
     persons += [("t1", "Eudes de Varuzezure", "M", 1100, None, 0, 0, 1), ("t2", "Eudes de Varuzezure", "M", 1101, 1150, 0, 0, 1), ("t3", "Eudes de Varuzezure", "M", None, 1190, 0, 0, 1)]
     got = {tuple(r) for r in variants.variant_pairs(spark.createDataFrame(persons, PERSONS), spark.createDataFrame([], MATCHES)).collect()}
     assert got == {("p1", "p2"), ("t1", "t2")}
+
+
+def test_slip_in_the_first_letter(spark):
+    persons = [("p1", "Hermannus de Nesivefure", "M", 1100, 1150, 0, 0, 1)]
+    quotes = [("q1", "x", 1130, None, "Armannus Nesivefensis", 1), ("q2", "x", 1130, None, "Hermannus Nesivefensis", 1)]
+    persons, quotes = spark.createDataFrame(persons, PERSONS), spark.createDataFrame(quotes, MATCHES)
+    assert people.given_similarity("armannus", "armann", "armannus", False, "hermannus", "ermann", "hermannus", False) >= 0.86
+    assert {r["match_id"] for r in linkage.link(quotes, persons).where("accepted").collect()} == {"q1", "q2"}
+    assert [tuple(r) for r in variants.variant_pairs(persons, quotes).collect()] == [("q1", "q2")]
