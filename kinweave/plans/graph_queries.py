@@ -139,14 +139,23 @@ def op_170_bands(spark, sf):
     return r6(graph.band_exposures(ball4(k), features(spark, sf, k), "breadth", [(1, 2), (3, 4)]))
 
 
+def _disputes(spark: SparkSession, sf: str, cap: int) -> DataFrame:
+    k = Kin(spark, sf)
+    m = table(spark, sf, "doc_matches_ai_extracted_high").where("person_id IS NOT NULL").select("doc_id", "person_id", "doc_year").distinct()
+    two = m.where("doc_year IS NOT NULL").withColumnRenamed("person_id", "a").join(m.select("doc_id", F.col("person_id").alias("b")).distinct(), "doc_id").where("a < b")
+    return graph.gated_distance(two.select("a", "b", F.col("doc_year").alias("year")), k.adj, k.births, cap=cap)
+
+
 @query(KIN + """, PR AS (SELECT DISTINCT x.person_id AS a, y.person_id AS b, x.doc_year AS year FROM doc_matches_ai_extracted_high x JOIN doc_matches_ai_extracted_high y ON x.doc_id = y.doc_id AND x.person_id < y.person_id WHERE x.doc_year IS NOT NULL),
 W AS (SELECT a, b, year, a AS node, 0 AS d FROM PR UNION SELECT a, b, year, p.id, d + 1 FROM W JOIN ADJ ON s = node JOIN P p ON p.id = t WHERE d < 5 AND p.birth < year)
 SELECT PR.a, PR.b, PR.year, coalesce(min(d) FILTER (node = W.b), 6) AS distance FROM PR LEFT JOIN W ON W.a = PR.a AND W.b = PR.b AND W.year = PR.year GROUP BY 1, 2, 3""")
 def op_173_gated_distance(spark, sf):
-    k = Kin(spark, sf)
-    m = table(spark, sf, "doc_matches_ai_extracted_high").where("person_id IS NOT NULL").select("doc_id", "person_id", "doc_year").distinct()
-    two = m.where("doc_year IS NOT NULL").withColumnRenamed("person_id", "a").join(m.select("doc_id", F.col("person_id").alias("b")).distinct(), "doc_id").where("a < b")
-    return graph.gated_distance(two.select("a", "b", F.col("doc_year").alias("year")), k.adj, k.births, cap=5)
+    return _disputes(spark, sf, 5)
+
+
+@query()
+def op_173_gated_distance_15(spark, sf):
+    return _disputes(spark, sf, 15)
 
 
 @query(KIN + """, A AS (SELECT id, min(dynasty) AS label FROM dynasty_anchors GROUP BY id), K AS (SELECT label, count(*) AS k FROM A GROUP BY 1),
