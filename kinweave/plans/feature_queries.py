@@ -9,7 +9,7 @@ from kinweave.functions import scalars as S
 from kinweave.functions import stats
 from kinweave.functions import text as X
 from kinweave.operators import community, econ, graph, panel, relational
-from kinweave.plans.graph_queries import KIN, REG, Kin, _reg, ball4, features
+from kinweave.plans.graph_queries import KIN, REG, Kin, _reg, ball, features
 from kinweave.plans.relational_queries import part_lives, r6
 from kinweave.runtime import table
 
@@ -279,8 +279,8 @@ def op_164_hop_sweep(spark, sf):
 @query()
 def op_170_ring_profile(spark, sf):
     k = Kin(spark, sf)
-    ball = ball4(k)
-    return r6(graph.ring_profile(ball, features(spark, sf, k), "breadth", panel.profile(ball, "depth", 1, 4)))
+    rings = ball(k, 7)
+    return r6(graph.ring_profile(rings, features(spark, sf, k), "breadth", panel.profile(rings, "depth", 1, 7)))
 
 
 @query()

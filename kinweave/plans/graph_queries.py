@@ -57,9 +57,13 @@ BALL AS (SELECT id AS seed, birth AS cut, id AS node, 0 AS d FROM P WHERE birth
 B AS (SELECT seed, any_value(cut) AS cut, node, min(d) AS d FROM BALL GROUP BY seed, node)"""
 
 
-def ball4(k: Kin) -> DataFrame:
+def ball(k: Kin, hops: int) -> DataFrame:
     seeds = graph.plain_seeds(k.persons.where("birth IS NOT NULL"), "id", F.col("birth"))
-    return checkpoint(graph.gated_ball(seeds, k.adj, k.births, 4))
+    return checkpoint(graph.gated_ball(seeds, k.adj, k.births, hops))
+
+
+def ball4(k: Kin) -> DataFrame:
+    return ball(k, 4)
 
 
 @query(KIN + " SELECT s AS id, count(*) AS degree FROM ADJ GROUP BY s")
@@ -81,6 +85,12 @@ def op_162_khop(spark, sf):
     return graph.reach(graph.gated_ball(graph.plain_seeds(k.persons), k.adj, None, 3), k.labels, [2, 3])
 
 
+@query()
+def op_162_khop_4(spark, sf):
+    k = Kin(spark, sf)
+    return graph.reach(graph.gated_ball(graph.plain_seeds(k.persons), k.adj, None, 4), k.labels, [3, 4])
+
+
 @query(KIN + BALL + """ SELECT seed, 'ego' AS role, count(DISTINCT CASE WHEN d <= 3 THEN label END) AS reach_3, count(*) FILTER (d BETWEEN 1 AND 3) AS nodes_3, count(DISTINCT label) AS reach_4, count(*) FILTER (d > 0) AS nodes_4 FROM B LEFT JOIN L ON id = node GROUP BY seed""")
 def op_163_gated_reach(spark, sf):
     k = Kin(spark, sf)
@@ -110,6 +120,14 @@ def op_167_reach_increment(spark, sf):
     return graph.reach_increment(graph.gated_ball(seeds, k.adj, k.births, 3), k.labels, 3)
 
 
+@query()
+def op_167_reach_increment_4(spark, sf):
+    k = Kin(spark, sf)
+    ball = checkpoint(graph.gated_ball(graph.role_seeds(k.persons, k.kin).where("role IN ('mother', 'father')"), k.adj, k.births, 4))
+    at = [graph.reach_increment(ball, k.labels, h).withColumn("hops", F.lit(h)) for h in (3, 4)]
+    return at[0].unionByName(at[1])
+
+
 @query(KIN + """, D AS (SELECT s, count(*) AS deg FROM ADJ GROUP BY 1), H AS (SELECT s, sum(n * n) / (sum(n) * sum(n))::DOUBLE AS hhi FROM (SELECT s, label, count(*) AS n FROM ADJ JOIN L ON id = t GROUP BY 1, 2) GROUP BY 1),
 T AS (SELECT x.s, count(*) AS tri FROM ADJ x JOIN ADJ y ON x.s = y.s AND x.t < y.t JOIN ADJ z ON z.s = x.t AND z.t = y.t GROUP BY 1)
 SELECT D.s AS id, deg, round(hhi, 6) AS hhi, CASE WHEN deg >= 2 THEN round(coalesce(tri, 0) * 2.0 / (deg * (deg - 1)), 6) END AS clustering FROM D LEFT JOIN H ON H.s = D.s LEFT JOIN T ON T.s = D.s""")
@@ -139,6 +157,13 @@ def op_170_bands(spark, sf):
     return r6(graph.band_exposures(ball4(k), features(spark, sf, k), "breadth", [(1, 2), (3, 4)]))
 
 
+@query()
+def op_170_bands_7(spark, sf):
+    k = Kin(spark, sf)
+    rings = [(d, d) for d in range(1, 8)]
+    return r6(graph.band_exposures(ball(k, 7), features(spark, sf, k), "breadth", [*rings, (1, 2), (3, 7), (2, 7), (4, 7), (3, 4), (3, 5)]))
+
+
 def _disputes(spark: SparkSession, sf: str, cap: int) -> DataFrame:
     k = Kin(spark, sf)
     m = table(spark, sf, "doc_matches_ai_extracted_high").where("person_id IS NOT NULL").select("doc_id", "person_id", "doc_year").distinct()
@@ -217,6 +242,12 @@ def op_186_pedigree(spark, sf):
     return r6(graph.pedigree_uniqueness(k.parents, k.persons, depth=5))
 
 
+@query()
+def op_186_pedigree_7(spark, sf):
+    k = Kin(spark, sf)
+    return r6(graph.pedigree_uniqueness(k.parents, k.persons, depth=7))
+
+
 @query(KIN + """, V AS (SELECT person_id AS id, count(DISTINCT match_id) AS value FROM doc_matches_ai_extracted_high WHERE person_id IS NOT NULL GROUP BY 1),
 W AS (SELECT child_id AS id, father_id AS node, 1 AS g FROM FM WHERE father_id IS NOT NULL UNION ALL SELECT W.id, father_id, g + 1 FROM W JOIN FM ON child_id = node WHERE father_id IS NOT NULL AND g < 6),
 A AS (SELECT W.id, max(g) AS length, sum(value) AS total, sum(value) FILTER (g > 1) AS above FROM W LEFT JOIN V ON V.id = node GROUP BY 1)
@@ -373,7 +404,7 @@ def op_211_leave_one_out(spark, sf):
 @query()
 def op_212_wild_bootstrap(spark, sf):
     res = econ.residualize(_reg(spark, sf).select("y", "x", "fe", "l_suppkey"), ["y", "x"], [], ["fe"])
-    t = econ.wild_bootstrap(res, "y_res", "x_res", "l_suppkey", 999, 7)
+    t = econ.wild_bootstrap(res, "y_res", "x_res", "l_suppkey", 9_999, 7)
     observed = t.where("draw = 0").select(F.abs("t").alias("t0"))
     return t.where("draw > 0").crossJoin(observed).agg(F.count("*").alias("draws"), F.avg((F.abs("t") >= F.col("t0")).cast("double")).alias("p"))  # one row
 
@@ -387,6 +418,12 @@ def op_213_permutation(spark, sf):
     return econ.permutation_test(d, "c_nationkey", "c_custkey", "c_acctbal", "z", 5, 9).select("draw", F.round("stat", 2).alias("stat"))
 
 
+@query()
+def op_213_permutation_999(spark, sf):
+    d = table(spark, sf, "customer").withColumn("z", F.col("c_custkey") % 7)
+    return econ.permutation_test(d, "c_nationkey", "c_custkey", "c_acctbal", "z", 999, 9).select("draw", F.round("stat", 2).alias("stat"))
+
+
 @query()
 def op_215_cluster_bootstrap(spark, sf):
     d = econ.cluster_bootstrap(_reg(spark, sf), "l_suppkey", "y", "x", 200, 3)

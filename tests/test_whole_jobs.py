@@ -25,3 +25,17 @@ def test_distance_to_15(spark, line):
     want = {(f"p{i:02}", f"p{j:02}", 1500): min(j - i, 16) for i in range(20) for j in range(i + 1, 20)}
     # p09 is born after the year of the letter
     assert got == want | {("p00", "p09", 1000): 16}
+
+
+def test_pedigree_of_7_generations(spark, line):
+    got = {r["id"]: (r["slots"], r["ancestors"]) for r in registry.QUERIES["op_186_pedigree_7"](spark, line).collect()}
+    assert got == {f"p{i:02}": (min(i, 7), min(i, 7)) for i in range(6, 20)}
+
+
+def test_bands_to_7(spark, line):
+    got = {r["seed"]: r for r in registry.QUERIES["op_170_bands_7"](spark, line).collect()}
+    assert [got["p10"][f"n_{a}_{b}"] for a, b in ((7, 7), (1, 2), (3, 7), (2, 7), (4, 7), (3, 4), (3, 5))] == [1, 2, 5, 6, 4, 2, 3]
+
+
+def test_names_of_whole_jobs():
+    assert {"op_162_khop_4", "op_167_reach_increment_4", "op_213_permutation_999"} <= set(registry.QUERIES)
