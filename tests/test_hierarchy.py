@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from kinweave.operators.hierarchy import clean_links, cycle_members, hierarchy, hierarchy_paths
+from kinweave.operators.hierarchy import clean_links, cycle_members, hierarchy, hierarchy_paths, numbered
 
 
 def brute(links):
@@ -46,21 +46,63 @@ CASES = {
     "through a ring": [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("b", "x"), ("x", "y"), ("r", "y")],
     "two parents": [("a", "c"), ("b", "c"), ("c", "d"), ("a", "d")],
     "two rings joined": [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("r", "a"), ("d", "z")],
+    "ring with chords": [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "a"), ("b", "x"), ("x", "d"), ("e", "y"), ("y", "a"), ("x", "leaf"), ("r", "y")],
+    "rings that touch": [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "f"), ("f", "g"), ("g", "e"), ("g", "g"), ("r", "a"), ("f", "leaf")],
     "chain": [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)],
     "long ring": [(f"n{i:03d}", f"n{(i + 1) % 17:03d}") for i in range(17)] + [("r", "n000"), ("n005", "leaf")],
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_small(spark, name):
-    assert run(spark, CASES[name]) == brute(CASES[name])
+@pytest.mark.parametrize("name", ["empty", "gaps"])
+def test_no_links(spark, name):
+    assert run(spark, CASES[name]) == set()
 
 
-@pytest.mark.parametrize("name", ["through a ring", "two rings joined", "long ring"])
-def test_coloured_cores_agree(spark, name):
-    df = spark.createDataFrame(CASES[name], "parent_id string, child_id string")
-    got = {r["v"] for r in cycle_members(clean_links(df), small=0).collect()}
-    assert got == {v for v, root, _ in brute(CASES[name]) if root == "cycle"}
+def test_small(spark):
+    """All cases side by side, as families of one table."""
+    links = [(a and f"{name}:{a}", b and f"{name}:{b}") for name in CASES for a, b in CASES[name]]
+    assert run(spark, links) == brute(links)
+
+
+def ladder(n, rng):
+    """Two rails with rungs both ways: a core without a single pass-through node, its nodes in random order."""
+    ids = [f"k{i:03d}" for i in rng.sample(range(1000), 2 * n)]
+    a, b = ids[:n], ids[n:]
+    rails = [(r[i], r[(i + 1) % n]) for r in (a, b) for i in range(n)]
+    return rails + list(zip(a, b, strict=True)) + list(zip(b, a, strict=True))
+
+
+def cores(name):
+    rng = random.Random(len(name))
+    if name == "ladder":
+        return ladder(6, rng)
+    if name == "ladders in a row":
+        one, two = ladder(4, rng), [(f"z{a}", f"z{b}") for a, b in ladder(4, rng)]
+        return one + two + [(one[0][0], two[0][0]), ("r", one[0][0]), (two[3][0], "leaf"), ("r", "leaf")]
+    nodes = [f"d{i:02d}" for i in range(30)]
+    return [(rng.choice(nodes), rng.choice(nodes)) for _ in range(70)]
+
+
+def test_cores(spark):
+    links = [(f"{name}:{a}", f"{name}:{b}") for name in ("ladder", "ladders in a row", "dense random") for a, b in cores(name)]
+    assert run(spark, links) == brute(links)
+
+
+def test_one_parent_of_half_the_links(spark):
+    links = [("hub", f"c{i:04d}") for i in range(1500)] + [(f"c{i:04d}", f"g{i:04d}") for i in range(1400)] + [("top", "hub")]
+    assert run(spark, links) == brute(links)
+
+
+def test_long_chain_with_many_entries(spark):
+    """A chain over several stretches that several roots enter at several places."""
+    links = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(1300)] + [(f"r{i}", f"n{i * 130:04d}") for i in range(10)] + [("r3", "n0100"), ("r3", "n1100")]
+    assert run(spark, links) == brute(links)
+
+
+def test_cycle_members_are_numbers(spark):
+    links, names = numbered(clean_links(spark.createDataFrame(CASES["long ring"], "parent_id string, child_id string")))
+    assert [r["name"] for r in names.orderBy("v").collect()] == sorted({x for p in CASES["long ring"] for x in p})
+    assert cycle_members(links).count() == 17
 
 
 def test_random(spark):
