@@ -2,18 +2,24 @@
 
 Three layers, each applied only to cells the former left open:
 
-1. *functional dependencies*: candidate determinant sets are verified on the complete records (share of records that
-   agree with their group, number of groups with two or more records); the verified ones become dictionaries of
-   determinant -> value which are left-joined;
+1. *functional dependencies*: determinant sets are mined level by level from the columns of the complete records (single
+   columns, then pairs, ...); a set is verified for a target if, of the records that share its values with another
+   record, at least min_confidence lie in groups whose targets all agree (within a tolerance, for years). A superset of
+   a verified set is not looked at, nor one of a set that too few records share. The verified sets become dictionaries
+   determinant -> value, which are left-joined to the missing cells;
 2. *group fallback*: relatives (children, parents, spouses, siblings, shifted by generation gaps mined from the
    complete records), the record's own other year (shifted by the mined life span), the dynasty, everybody;
 3. flags of filled years are 1, other missing flags take the value of the dictionary or of the group.
+
+All parents, children and spouses of a person count as a set each, by a fingerprint that is summed up, so no family is
+gathered in one place.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +30,7 @@ from kinweave.runtime import checkpoint
 
 @dataclass(frozen=True)
 class Dependency:
-    """determinants -> target, as a candidate."""
+    """determinants -> target."""
 
     determinants: tuple[str, ...]
     target: str
@@ -37,48 +43,83 @@ class Verified:
     groups: int
 
 
-def _complete(df: DataFrame, d: Dependency) -> DataFrame:
-    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*d.determinants, d.target)]))
+def _keyed(df: DataFrame, sets: list[tuple[str, ...]], keep: list[str]) -> DataFrame:
+    """A row for each record and set of columns that are all known: set_no, two hashes of the columns' values, keep."""
+    known = lambda x: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in x])
+    one = [F.when(known(x), F.struct(F.lit(i).alias("set_no"), F.xxhash64(*x).alias("h1"), F.xxhash64(F.lit(1), *x).alias("h2"))) for i, x in enumerate(sets)]
+    return df.select(*keep, F.explode(F.filter(F.array(*one), lambda e: e.isNotNull())).alias("e")).select(*keep, "e.*")
 
 
-def _value_counts(df: DataFrame, d: Dependency) -> DataFrame:
-    return _complete(df, d).groupBy(*d.determinants, d.target).agg(F.count("*").alias("n"))
+def _statistics(df: DataFrame, sets: list[tuple[str, ...]], targets: dict[str, float]) -> dict[tuple[int, str], tuple[int, int, int]]:
+    """(number of the set, target) -> groups of two or more complete records, records in them, those in groups that
+    agree. One pass for all sets and targets; a row for each set comes to the driver."""
+    groups = _keyed(df, sets, list(targets)).groupBy("set_no", "h1", "h2")
+    groups = groups.agg(*[f(t).alias(f"{t}_{n}") for t in targets for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
+    shared = lambda t: F.col(f"{t}_n") > 1
+    agree = lambda t, tol: shared(t) & (F.col(f"{t}_hi") - F.col(f"{t}_lo") <= tol)
+    cols = []
+    for t, tol in targets.items():
+        n = F.col(f"{t}_n")
+        cols += [F.count_if(shared(t)).alias(f"{t}_g"), F.sum(F.when(shared(t), n).otherwise(0)).alias(f"{t}_r"), F.sum(F.when(agree(t, tol), n).otherwise(0)).alias(f"{t}_a")]
+    return {(r["set_no"], t): (r[f"{t}_g"], r[f"{t}_r"], r[f"{t}_a"]) for r in groups.groupBy("set_no").agg(*cols).collect() for t in targets}
 
 
-def verify_dependencies(df: DataFrame, candidates: list[Dependency], min_confidence: float = 0.9, min_groups: int = 5) -> list[Verified]:
-    """The candidates that hold: in groups of two or more complete records, min_confidence of the records agree.
+def mine_dependencies(df: DataFrame, columns: list[str], targets: dict[str, float], trivial: dict[str, set[str]] | None = None, max_size: int = 2, min_confidence: float = 0.9, min_groups: int = 5) -> list[Verified]:
+    """The minimal dependencies that hold, best first, by a level-wise search over the sets of columns.
 
-    One pass per candidate, aggregated twice; only one row of statistics per candidate comes to the driver.
+    targets: target -> tolerance (0: values must be equal). trivial: target -> columns made from it, which are no
+    determinants of it. A set is dropped, with all that contain it, when fewer than 2 * min_groups records share its
+    values. Levels end at max_size.
     """
-    stats = []
-    for i, d in enumerate(candidates):
-        per_group = _value_counts(df, d).groupBy(*d.determinants).agg(F.sum("n").alias("rows"), F.max("n").alias("top")).where("rows > 1")
-        stats.append(per_group.agg(F.lit(i).alias("i"), F.count("*").alias("groups"), F.sum("rows").alias("rows"), F.sum("top").alias("top")))
-    out = []
-    for r in reduce(DataFrame.unionByName, stats).collect() if stats else []:
-        confidence = (r["top"] or 0) / r["rows"] if r["rows"] else 0.0
-        if confidence >= min_confidence and r["groups"] >= min_groups:
-            out.append(Verified(candidates[r["i"]], confidence, r["groups"]))
-    return sorted(out, key=lambda v: (-v.confidence, v.dependency.determinants))
-
-
-def dictionary(df: DataFrame, d: Dependency) -> DataFrame:
-    """determinants -> value for the groups whose complete records all agree."""
-    own = _value_counts(df, d).groupBy(*d.determinants).agg(F.count("*").alias("k"), F.min(d.target).alias("value"))
-    return own.where("k = 1").drop("k")
-
-
-def fill_by_dependencies(df: DataFrame, target: str, verified: list[Verified], key: str = "id") -> DataFrame:
-    """Adds {target}_filled and {target}_source ('observed', 'fd:a,b' or NULL where no dictionary knows the value)."""
-    value, source = F.col(target), F.when(F.col(target).isNotNull(), F.lit("observed"))
-    out = df
-    for i, v in enumerate(x for x in verified if x.dependency.target == target):
-        d, name = v.dependency, f"__fd_{target}_{i}"
-        own = dictionary(df, d).withColumnRenamed("value", name)
-        out = spread_left_join(out, own, list(d.determinants), key)
-        source = F.coalesce(source, F.when(F.col(name).isNotNull(), F.lit("fd:" + ",".join(d.determinants))))
-        value = F.coalesce(value, F.col(name))
-    return out.select(*df.columns, value.alias(f"{target}_filled"), source.alias(f"{target}_source"))
+    trivial = {t: (trivial or {}).get(t, set()) | {t} for t in targets}
+    found: dict[str, list[Verified]] = {t: [] for t in targets}
+    level: list[tuple[str, ...]] = [(c,) for c in columns]
+    for size in range(1, max_size + 1):
+        if not level:
+            break
+        stats = _statistics(df, level, targets)
+        alive = set()
+        for i, x in enumerate(level):
+            for t in targets:
+                groups, rows, agree = stats.get((i, t), (0, 0, 0))
+                if trivial[t] & set(x) or any(set(v.dependency.determinants) <= set(x) for v in found[t]):
+                    continue
+                if groups >= min_groups and agree >= min_confidence * rows:
+                    found[t].append(Verified(Dependency(x, t), agree / rows, groups))
+                elif rows >= 2 * min_groups:
+                    alive.add(x)  # a larger set may still hold
+        grown = {tuple(sorted({*x, c}, key=columns.index)) for x in alive for c in columns if c not in x}
+        level = sorted(x for x in grown if all(y in alive for y in combinations(x, size)) and not any(set(x) <= trivial[t] for t in targets))
+    return sorted((v for vs in found.values() for v in vs), key=lambda v: (-v.confidence, -v.groups, v.dependency.determinants, v.dependency.target))
+
+
+def fill_by_dependencies(df: DataFrame, verified: list[Verified], targets: dict[str, float], key: str = "id") -> DataFrame:
+    """Adds for each target {target}_filled and {target}_source ('observed', 'fd:a,b', or NULL where no dictionary knows
+    the value). A dictionary has the groups whose complete records agree; their mean is the value. Of several that know
+    a value, the one of higher confidence counts. All dictionaries are one table, joined once to the missing cells."""
+    observed = [x for t in targets for x in (F.col(t).alias(f"{t}_filled"), F.when(F.col(t).isNotNull(), F.lit("observed")).alias(f"{t}_source"))]
+    if not verified:
+        return df.select("*", *observed)
+    sets = [v.dependency.determinants for v in verified]
+    target = [v.dependency.target for v in verified]
+    label = F.create_map(*[x for i, v in enumerate(verified) for x in (F.lit(i), F.lit("fd:" + ",".join(v.dependency.determinants)))])
+    value = lambda: F.element_at(F.create_map(*[x for i, t in enumerate(target) for x in (F.lit(i), F.col(t).cast("double"))]), F.col("set_no"))
+    tol = F.element_at(F.create_map(*[x for i, t in enumerate(target) for x in (F.lit(i), F.lit(float(targets[t])))]), F.col("set_no"))
+    rows = _keyed(df, sets, [key, *targets]).select(key, "set_no", "h1", "h2", value().alias("x"))
+    known = rows.where("x IS NOT NULL").groupBy("set_no", "h1", "h2").agg(F.avg("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("hi") - F.col("lo") <= tol)
+    cells = rows.where("x IS NULL").select(key, "set_no", "h1", "h2").join(known, ["set_no", "h1", "h2"]).select(key, "set_no", F.bround("v").cast("int").alias("v"))
+    # the numbers of the sets go by confidence
+    best = cells.groupBy(key).agg(*[F.min(F.when(F.col("set_no").isin([i for i, u in enumerate(target) if u == t]), F.struct("set_no", "v"))).alias(f"__{t}") for t in targets])
+    out = df.join(best, key, "left")
+    cols = [x for t in targets for x in (F.coalesce(t, F.col(f"__{t}.v")).alias(f"{t}_filled"), F.when(F.col(t).isNotNull(), F.lit("observed")).otherwise(F.element_at(label, F.col(f"__{t}.set_no"))).alias(f"{t}_source"))]
+    return out.select(*df.columns, *cols)
+
+
+def set_key(links: DataFrame, of: str, member: str, name: str) -> DataFrame:
+    """(id, name): a fingerprint of the set of members that links give each id; equal sets have equal ones."""
+    own = links.select(F.col(of).alias("id"), F.col(member).alias("m")).distinct()
+    print_ = F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(F.xxhash64("m")).cast("string"), F.bit_xor(F.xxhash64(F.lit(1), "m")).cast("string"))
+    return own.groupBy("id").agg(print_.alias(name))
 
 
 def _year(name: str, lo: int, hi: int) -> Column:
@@ -93,34 +134,30 @@ def clean_persons(persons: DataFrame, lo: int = 700, hi: int = 1600) -> DataFram
     return own.groupBy("id").agg(F.min(F.struct("name", "sex", "birth", "death", "birth_imputed", "death_imputed")).alias("r")).select("id", "r.*")
 
 
-def fill_persons(persons: DataFrame, parents: DataFrame, spouses: DataFrame, labels: DataFrame, lo: int = 700, hi: int = 1600, min_confidence: float = 0.9, min_groups: int = 5) -> DataFrame:
+def fill_persons(persons: DataFrame, parents: DataFrame, spouses: DataFrame, labels: DataFrame, lo: int = 700, hi: int = 1600, min_confidence: float = 0.9, min_groups: int = 5, tolerance: int = 10, bin_years: int = 25, max_size: int = 2) -> DataFrame:
     """Persons with every missing birth, death and flag filled.
 
     Returns id, and for each field f of birth, death, birth_imputed, death_imputed: f (filled), f_source and
     f_was_missing. NULL and impossible years count as missing, and so do flags other than 0 and 1. Links to unknown
     persons, repeated links and NULL ends have no effect; an empty persons table gives an empty result; with no
-    complete record at all a cell stays NULL with source 'unfilled'.
+    complete record at all a cell stays NULL with source 'unfilled'. Years of a group agree if they lie within tolerance;
+    years as determinants also count in bins of bin_years. Determinants have at most max_size columns.
     """
     base = clean_persons(persons, lo, hi)
     label = labels.where("dynasty IS NOT NULL AND dynasty <> '' AND id IS NOT NULL").groupBy("id").agg(F.min("dynasty").alias("dynasty"))
     links = parents.where("parent_id IS NOT NULL AND child_id IS NOT NULL AND parent_id <> '' AND child_id <> '' AND parent_id <> child_id").select("parent_id", "child_id").distinct()
-    two = links.groupBy(F.col("child_id").alias("id")).agg(F.min("parent_id").alias("parent_a"), F.max("parent_id").alias("parent_b"))
-    pairs = spouses.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
+    pairs = spouses.where("a IS NOT NULL AND b IS NOT NULL AND a <> '' AND b <> '' AND a <> b").select("a", "b")
     both = pairs.union(pairs.select("b", "a")).distinct()
-    wed = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("spouse"))
-    base = base.join(label, "id", "left").join(two, "id", "left").join(wed, "id", "left").withColumn("name_key", F.when(F.length(F.trim("name")) > 0, F.lower(F.trim("name"))))
-    base = checkpoint(base)
-
-    candidates = [Dependency(k, "birth") for k in (("name_key", "death"), ("name_key", "parent_a", "parent_b"), ("name_key", "spouse"), ("parent_a", "parent_b"), ("name_key",))]
-    candidates += [Dependency(k, "death") for k in (("name_key", "birth"), ("name_key", "parent_a", "parent_b"), ("name_key", "spouse"), ("name_key",))]
-    candidates += [Dependency(("name_key", "birth"), "birth_imputed"), Dependency(("dynasty",), "birth_imputed"), Dependency(("name_key", "death"), "death_imputed"), Dependency(("dynasty",), "death_imputed")]
-    verified = verify_dependencies(base, candidates, min_confidence, min_groups)
-
-    fields = ("birth", "death", "birth_imputed", "death_imputed")
-    out = base
-    for f in fields:
-        out = fill_by_dependencies(out, f, verified)
-    out = checkpoint(out)
+    base = base.join(label, "id", "left")
+    for name, table, of, member in (("parents", links, "child_id", "parent_id"), ("children", links, "parent_id", "child_id"), ("spouses", both, "a", "b")):
+        base = base.join(set_key(table, of, member, name), "id", "left")
+    base = base.withColumn("name_key", F.when(F.length(F.trim("name")) > 0, F.lower(F.trim("name")))).withColumn("sex_key", F.when(F.col("sex").isin("M", "F"), F.col("sex")))
+    base = checkpoint(base.withColumn("birth_bin", F.floor(F.col("birth") / bin_years)).withColumn("death_bin", F.floor(F.col("death") / bin_years)))
+
+    targets = {"birth": float(tolerance), "death": float(tolerance), "birth_imputed": 0.0, "death_imputed": 0.0}
+    columns = ["name_key", "sex_key", "dynasty", "parents", "children", "spouses", "birth", "death", "birth_bin", "death_bin"]
+    verified = mine_dependencies(base, columns, targets, {"birth": {"birth_bin"}, "death": {"death_bin"}}, max_size, min_confidence, min_groups)
+    out = checkpoint(fill_by_dependencies(base, verified, targets))
 
     # group fallback: gaps mined from complete records, then estimates from relatives
     years = base.select("id", "birth", "death")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,13 +27,33 @@ def build_session(app: str = "kinweave", cores: str = "*", partitions: int = 8)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where that setting is absent."""
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The shared folder named by spark.checkpoint.dir; a private one only where that setting is absent and the master
+    is local. On a cluster a folder of one machine would be read by no other, so there the setting is required."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="kinweave-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the checkpoint folder, deleted when the driver ends."""
+    sc = spark.sparkContext
+    folder = f"{ensure_checkpoint_dir(spark)}/kinweave-{sc.applicationId}"
+    if getattr(sc, "_kw_folder", None) != folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        sc._kw_folder = folder
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -40,7 +63,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     without bound. It also brings exact sizes for the planning of the next joins.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kw_path = path
