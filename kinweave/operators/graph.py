@@ -360,8 +360,11 @@ def siblings(parents: DataFrame) -> DataFrame:
 
 
 def sibling_counts(parents: DataFrame) -> DataFrame:
-    """(id, n_siblings): distinct co-children (OP-116)."""
-    return siblings(parents).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_siblings"))
+    """(id, n_siblings): distinct co-children (OP-116), counted by family, without pairs of siblings."""
+    links = parents.where("parent_id IS NOT NULL AND child_id IS NOT NULL AND parent_id <> '' AND child_id <> ''").select("parent_id", "child_id").distinct()
+    family, members = sibling_sets(links)
+    size = members.groupBy("family").agg((F.count("*") - 1).alias("n_siblings"))
+    return family.join(size, "family").where("n_siblings > 0").select(F.col("child_id").alias("id"), "n_siblings")
 
 
 def ego_network(adj: DataFrame, seed: str, hops: int, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -380,39 +383,75 @@ def event_years(events: DataFrame, person: str, year: str, kinds: dict[str, Colu
     return events.where(F.col(person).isNotNull()).groupBy(F.col(person).alias("id")).agg(F.min(year).alias("first_year"), *cols, F.coalesce(F.bool_or(F.col(year).between(lo, hi)), F.lit(False)).cast("int").alias("in_window"))
 
 
-def impute_years(persons: DataFrame, parents: DataFrame, spouses: DataFrame, passes: int = 20, gap_m: int = 30, gap_f: int = 25, life: int = 60) -> DataFrame:
-    """(id, birth, death, birth_imputed, death_imputed) by synchronous rounds over kin (OP-191).
+def sibling_sets(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(child_id, family) and (family, member): children of the same set of parents share a family, whose members are all
+    children of any of these parents. Linear in the families, where pairs of siblings would be quadratic."""
+    from kinweave.operators.fill import set_key
 
-    A missing birth is the rounded median of what parents (their birth + gap of their sex), children (their birth - own
-    gap), spouses and siblings (their births) give; with no kin, death - life. A missing death is birth + life. Values are
-    never revised; each round sees the one before. Flags are 1 for imputed, 0 for observed, NULL for still missing.
+    links = parents.select("parent_id", "child_id").distinct()
+    own = checkpoint(set_key(links, "child_id", "parent_id", "family").withColumnRenamed("id", "child_id"))
+    heads = own.join(links, "child_id").select("family", "parent_id").distinct()
+    members = heads.join(links, "parent_id").select("family", F.col("child_id").alias("member")).distinct()
+    return own, checkpoint(members)
+
+
+def impute_years(persons: DataFrame, parents: DataFrame, spouses: DataFrame, passes: int = 20, gap_m: int = 30, gap_f: int = 25, life: int = 60, spouse_gap: int = 3, late: int = 25) -> DataFrame:
+    """(id, birth, death, birth_imputed, death_imputed, round) by synchronous rounds over kin (OP-191).
+
+    A missing year is the rounded median of all that kin give, in every round for both years. Birth: of each parent its
+    birth plus the gap of its sex, or else its death less a life plus the gap; of each child its birth less the own gap,
+    or else its death less a life and the gap; of each spouse its birth, less or plus spouse_gap where a man has a wife
+    or a woman a husband; own death less a life; the median of the siblings' births. Death: own birth plus a life;
+    spouses' deaths; the median of the siblings' deaths; parents' deaths plus late; children's births plus a life less
+    gap_m. Values are never revised; a round sees the values of the one before, a death also the birth of its own round.
+    Flags are 1 for imputed, 0 for observed, NULL for still missing; it ends when a round adds nothing, or after passes
+    rounds.
     """
-    sex = persons.select("id", "sex")
     gap = lambda s: F.when(F.col(s) == "M", float(gap_m)).when(F.col(s) == "F", float(gap_f)).otherwise((gap_m + gap_f) / 2)
-    links = checkpoint(parents.select("parent_id", "child_id").where("parent_id IS NOT NULL AND child_id IS NOT NULL AND parent_id <> child_id").distinct().join(sex.select(F.col("id").alias("parent_id"), F.col("sex").alias("ps")), "parent_id"))
+    clean = parents.select("parent_id", "child_id").where("parent_id IS NOT NULL AND child_id IS NOT NULL AND parent_id <> child_id").distinct()
+    sex = persons.select(F.col("id").alias("parent_id"), F.col("sex").alias("ps"))
+    links = checkpoint(clean.join(sex, "parent_id"))
+    family, members = sibling_sets(clean)
     wed = spouses.select("a", "b").union(spouses.select("b", "a")).where("a <> b").distinct()
-    state = checkpoint(persons.select("id", "sex", F.col("birth").cast("int").alias("birth"), F.col("death").cast("int").alias("death"), F.lit(0).alias("round")))
+    of = lambda c, s: persons.select(F.col("id").alias(c), F.col("sex").alias(s))
+    wed = checkpoint(wed.join(of("a", "sa"), "a").join(of("b", "sb"), "b"))
+    step = F.when((F.col("sa") == "M") & (F.col("sb") == "F"), -spouse_gap).when((F.col("sa") == "F") & (F.col("sb") == "M"), spouse_gap).otherwise(0)
+    state = checkpoint(persons.select("id", F.col("birth").cast("int").alias("birth"), F.col("death").cast("int").alias("death"), F.lit(0).alias("round")))
     start = persons.select("id", F.col("birth").alias("b0"), F.col("death").alias("d0"))
-    n = state.where("birth IS NULL").count()
+    middle = lambda c: F.bround(F.median(c)).cast("int")
+    gaps = lambda df: df.agg(F.count_if(F.col("birth").isNull()) + F.count_if(F.col("death").isNull())).first()[0]
+    n = gaps(state)
     for r in range(1, passes + 1):
-        b = state.where("birth IS NOT NULL").select("id", "birth")
-        est = [
-            links.join(b.withColumnRenamed("id", "parent_id"), "parent_id").select(F.col("child_id").alias("id"), (F.col("birth") + gap("ps")).cast("int").alias("e")),
-            links.join(b.withColumnRenamed("id", "child_id"), "child_id").select(F.col("parent_id").alias("id"), (F.col("birth") - gap("ps")).cast("int").alias("e")),
-            wed.join(b.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("birth").alias("e")),
-            links.join(b.withColumnRenamed("id", "child_id"), "child_id").groupBy("parent_id").agg(F.bround(F.median("birth")).cast("int").alias("e")).join(links.select("parent_id", F.col("child_id").alias("id")), "parent_id").select("id", "e"),
+        if not n:
+            break
+        s = state.select("id", "birth", "death").where("birth IS NOT NULL OR death IS NOT NULL")
+        up = links.join(s.withColumnRenamed("id", "parent_id"), "parent_id")
+        down = links.join(s.withColumnRenamed("id", "child_id"), "child_id")
+        mate = wed.join(s.withColumnRenamed("id", "b"), "b")
+        brood = members.join(s.withColumnRenamed("id", "member"), "member").groupBy("family").agg(middle("birth").alias("birth"), middle("death").alias("death"))
+        kin = [
+            up.select(F.col("child_id").alias("id"), F.coalesce("birth", F.col("death") - life).alias("y"), gap("ps").alias("g"), (F.col("death") + late).alias("d")),
+            down.select(F.col("parent_id").alias("id"), F.coalesce("birth", F.col("death") - life).alias("y"), (-gap("ps")).alias("g"), (F.col("birth") + life - gap_m).alias("d")),
+            mate.select(F.col("a").alias("id"), F.col("birth").alias("y"), step.cast("double").alias("g"), F.col("death").alias("d")),
+            family.join(brood, "family").select(F.col("child_id").alias("id"), F.col("birth").alias("y"), F.lit(0.0).alias("g"), F.col("death").alias("d")),
+            s.select("id", (F.col("death") - life).alias("y"), F.lit(0.0).alias("g"), F.lit(None).cast("int").alias("d")),
         ]
-        open_ = state.where("birth IS NULL").select("id")
-        got = reduce(DataFrame.union, est).join(open_, "id", "left_semi").groupBy("id").agg(F.bround(F.median("e")).cast("int").alias("e"))
-        new = checkpoint(state.join(got, "id", "left").select("id", "sex", F.coalesce("birth", "e").alias("birth"), "death", F.when(F.col("birth").isNull() & F.col("e").isNotNull(), r).otherwise(F.col("round")).alias("round")))
-        discard(state)
+        open_ = state.where("birth IS NULL OR death IS NULL").select("id")
+        given = checkpoint(reduce(DataFrame.union, kin).join(open_, "id", "left_semi").select("id", (F.col("y") + F.col("g")).cast("int").alias("e"), "d"))
+        births = given.groupBy("id").agg(middle("e").alias("e"))
+        half = checkpoint(state.join(births, "id", "left").withColumn("birth", F.coalesce("birth", "e")).drop("e"))
+        deaths = half.where("death IS NULL AND birth IS NOT NULL").select("id", (F.col("birth") + life).alias("d")).union(given.select("id", "d")).groupBy("id").agg(middle("d").alias("d"))
+        new = half.join(deaths, "id", "left").join(state.select("id", F.col("birth").alias("b1"), F.col("death").alias("d1")), "id")
+        new = new.withColumn("death", F.coalesce("death", "d"))
+        moved = ~(F.col("birth").eqNullSafe(F.col("b1")) & F.col("death").eqNullSafe(F.col("d1")))
+        new = checkpoint(new.select("id", "birth", "death", F.when(moved, r).otherwise(F.col("round")).alias("round")))
+        discard(state, given, half)
         state = new
-        left = state.where("birth IS NULL").count()
-        if left in (0, n):
+        left = gaps(state)
+        if left == n:
             break
         n = left
-    birth = F.coalesce("birth", F.col("death") - life)
-    out = state.select("id", birth.alias("birth"), F.coalesce(F.col("death"), birth + life).alias("death"), "round").join(start, "id")
+    out = state.join(start, "id")
     flag = lambda now, old: F.when(F.col(now).isNull(), None).otherwise(F.col(old).isNull().cast("int"))
     return out.select("id", "birth", "death", flag("birth", "b0").alias("birth_imputed"), flag("death", "d0").alias("death_imputed"), "round")
 
