@@ -95,6 +95,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work on whole texts: a scan of fewer splits than there are cores is dealt out to all of them; a larger one
+    stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
