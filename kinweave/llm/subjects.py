@@ -1,11 +1,15 @@
 """Subject area of each letter by labelling functions and a latent model of their accuracy.
 
 Labelling functions, each saying yes, no or nothing on every subject: a lexicon over the sentences of the abstract, of
-the text and of the register entry, the addressee, and the earlier code of another source. Sentences of dates,
-witnesses, closing clauses, bearers and copies say nothing (the section rule). How often each function finds a
-subject, and how often it names a wrong one, is learned without labels by expectation-maximisation over the counts of
+the text and of the register entry, the addressee, and the earlier code of another source. How often each function finds
+a subject, and how often it names a wrong one, is learned without labels by expectation-maximisation over the counts of
 vote patterns; there are at most a few hundred patterns per subject, whatever the size of the corpus. Letters take the
 subjects of high posterior probability.
+
+The lexicon is learned from the coded letters: words and pairs of words that go with one code much more often than the
+code is frequent. A sentence is about the subject of which it holds most such words, two at least. Sentences that name a
+matter in passing (dates, witnesses, closing clauses, bearers) stand in letters of every code, so their words are in no
+lexicon. A subject that no letter is coded with is read by the word beginnings of its name and description.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
@@ -20,70 +25,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.names import fold, fold_text
-from kinweave.runtime import checkpoint
-
-#: Word beginnings that speak for a subject, in French and in Latin, in folded spelling.
-LEXICON = {
-    "ecclesiastical_property": r"\bdimes?\b|\bgranges?\b|du au prieure|terres du chapitre|\boblation|moulins|vignes du couvent|moniales|\bautel par|aliener|biens du monastere|bona capituli|\bnovalia\b|\bstagnum\b|\bdecima[smr]|\bgrangi|\bsilvam\b|privilegium super|\bvineis\b|census annuus|agris prioratus|dotis ecclesi|possessiones ecclesi|molendin",
-    "ecclesiastical_appointments": r"vote au chapitre|candidats?\b|\becolatre\b|resignation|provision du|prebend|\bpostul|\belection\b|\bscrutin\b|translation du prelat|destitution d'un chanoine|chanoine recu|\bdecanat|eligend|\belection(em|is)\b|ad abbatiam assumpt|in discordia eleg|nominationis|translationem presulis|canonicum contra|sedem providend|antistit",
-    "inheritance": r"\bheritiers refusent|\blegs\b|\borphelin|part issue de la mort|\bpupille\b|\btuteurs?\b|\bsuccession\b|\bheritage\b|dernieres volontes|\btestament\b|\bheredita|ultimam voluntatem|\btestamentum\b|\bsuccessione\b|\bpupill|soror maior|ex morte genitric|bonis quondam mariti|primogenit|\blegata que\b|\borphanis\b",
-    "marriage": r"\bparente au\b|fiancaille|\bepous|\bnoces\b|conjoints?\b|consanguin|\baffinit|\bmari est\b|femme legitime|convoler|\bmatrimoni|\bducenda\b|impedimento|\bmaritagi|\bdivorti|\bconiug|\bnuber|\bsponsali|\bnuptiis\b",
-    "crusade": r"outre-mer|predicateurs|saint-sepulcre|\bvingtieme\b|passage general|\bflotte\b|infideles|pris la croix|\bgaleres\b|terre sainte|biens des croises|infideles moneant|crucis assumptum|transfret|vicesimam|transmarin|\bpassagi|\bgaleas\b|versus orientem|redemptiones votorum|\bsepulchri\b|\bpaganos\b|\bcrucesignatorum\b|ultramarin|terminus transitus",
-    "excommunication": r"en interdit|sentence portee|\bsuspense\b|\banatheme\b|\breconciliation\b|frappe un clerc|\bsacrements\b|banni de l'eglise|cimiterium|violentas manus|late sententi|\banathemati|\binterdict|\bcandelis\b|\breconciliationem\b|sententiam excommunic|\bsuspensionis\b|unitate fidelium|beneficium absolutionis",
-    "secular_territorial": r"droit de port|limites des comtes|\bpeage\b|forteresse|restitution du chateau|\bducs en guerre\b|\bhommage\b|tour batie|\bpatures\b|regimine regni|iuribus corone|de pascuis|turrim ultra|finibus comitat|\btreugam\b|\bhomagium\b|\bmunitiones\b|\bobsides\b|castrum de|duces bellant|\bvectigal\b",
-    "other": r"presents envoyes|\bindulgence\b|poids et mesures|\breliques\b|\bpont de pierre\b|livre de chant|sauf-conduit|fete patronale|lits de l'hopital|calendrier|calendarium|festum patroni|reparatione pontis|muneribus ad cameram|hospitium pauperum|\breliquias\b|\bindulgentiam\b|securum conductum|pondera et mensuras|librum de cantu",
-}
-#: How sentences begin that only name a matter in passing: dates, witnesses, closing clauses, bearers, copies.
-PASSING = re.compile(r"^\s*(?:data?(?:um)?\b|scriptum\b|testibus\b|presentibus\b|plebano\b|nulli ergo\b|si quis autem\b|salutem\b|scriptor huius\b|latorem? huius\b|latorem\b|ecclesie sancte .* lator\b|littere he\b|contradictores\b|donne\b|fait a\b|copie faite\b|lettre apportee\b|lu devant\b|mention marginale\b|le porteur\b|clause finale\b|l'acte est souscrit\b|sunt autem\b|anno \d+ apud\b|quod cum\b|le dossier compte\b|souscrit\b|scelle\b)")
+from kinweave.runtime import checkpoint, spread
+
 _BREAK = re.compile(r"[.;:\n\r|!?]+|\s/+\s")
 _TAG = re.compile(r"<[^>]*>")
 _EDIT = re.compile(r"[\[\]()<>{}⟨⟩]")
-_WORDS = re.compile("[a-z]+")
+_WORDS = re.compile("[a-z]{2,}")
 CLERGY = re.compile(r"^\s*(?:abbat|prior|episcop|archiepiscop|decan|capitul|preposit|canonic|convent|rector|archidiacon|abbatiss)")
 FUNCTIONS = ("abstract", "body", "register", "address", "code")
+STEM = 6  # letters of a description's word that a word of a letter has to begin with
+
 
+@dataclass(frozen=True)
+class Lexicon:
+    """words: word or pair of words -> number of its subject; stems: beginning of a word -> subject's number."""
 
-@lru_cache(maxsize=1)
-def _rules() -> tuple[dict[str, re.Pattern], dict[str, frozenset[str]]]:
-    """The rule of each subject, and for the first three letters of what a rule's alternatives begin with its subjects."""
-    starts: dict[str, set[str]] = {}
-    for subject, pattern in LEXICON.items():
-        for alternative in re.split(r"\|(?![^(]*\))", pattern):
-            starts.setdefault(re.search("[a-z]{2,}", alternative.replace(r"\b", "")).group()[:3], set()).add(subject)
-    return {s: re.compile(rf"(?<![a-z])(?:{p})") for s, p in LEXICON.items()}, {k: frozenset(v) for k, v in starts.items()}
+    subjects: tuple[str, ...]
+    words: dict[str, int] = field(hash=False)
+    stems: dict[str, int] = field(hash=False)
+    second: frozenset[str] = frozenset()
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "second", frozenset(w.split(" ")[1] for w in self.words if " " in w))
 
-def named_in(text: str | None) -> set[str]:
-    """The subjects that sentences of a text are about; sentences that only name a matter in passing count for none."""
+
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text in folded spelling, without markup and editorial brackets."""
     if not text or not text.strip():
-        return set()
+        return []
     t = _EDIT.sub("", html.unescape(_TAG.sub(" ", text)))
-    found: set[str] = set()
-    for sentence in _BREAK.split(fold_text(t)):
-        if len(sentence) >= 5:
-            found |= _sentence(sentence) if len(sentence) <= 300 else _read(sentence)
+    return [x for x in _BREAK.split(fold_text(t)) if len(x) >= 5]
+
+
+def features(sentence: str) -> list[str]:
+    """Words and pairs of neighbours."""
+    w = _WORDS.findall(sentence)
+    return w + [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+
+
+def about(sentence: str, lexicon: Lexicon) -> int:
+    """The number of the subject that a sentence is about, -1 for none."""
+    words, second, hits, last = lexicon.words, lexicon.second, {}, ""
+    for w in _WORDS.findall(sentence):
+        k = words.get(w)
+        if k is not None:
+            hits[k] = hits.get(k, 0) + 1
+        if w in second:
+            k = words.get(f"{last} {w}")
+            if k is not None:
+                hits[k] = hits.get(k, 0) + 1
+        last = w
+    if hits:
+        k, n = min(hits.items(), key=lambda x: (-x[1], x[0]))
+        if n >= 2:
+            return k
+    if lexicon.stems:
+        found = {lexicon.stems[w[:STEM]] for w in _WORDS.findall(sentence) if w[:STEM] in lexicon.stems}
+        if found:
+            return min(found)
+    return -1
+
+
+def named_in(text: str | None, lexicon: Lexicon, known: dict[str, int]) -> set[str]:
+    """The subjects that the sentences of a text are about. known: sentences read before, in a bounded number."""
+    found = set()
+    for sentence in sentences(text):
+        k = known.get(sentence)
+        if k is None:
+            k = about(sentence, lexicon)
+            if len(sentence) <= 300 and len(known) < 30_000:
+                known[sentence] = k
+        if k >= 0:
+            found.add(lexicon.subjects[k])
     return found
 
 
-def _read(sentence: str) -> frozenset[str]:
-    sentence = " ".join(sentence.split())
-    if PASSING.match(sentence):
-        return frozenset()
-    rules, starts = _rules()
-    able = {subject for w in _WORDS.findall(sentence) for subject in starts.get(w[:3], ()) or starts.get(w[:2], ())}
-    return frozenset(subject for subject in able if rules[subject].search(sentence))
+def for_clergy(address: str | None) -> bool:
+    return bool(address and CLERGY.match(fold(address)))
+
 
+def _labeller(spark, lexicon: Lexicon):
+    shared = spark.sparkContext.broadcast(lexicon)  # as many words as learn_lexicon lets in
 
-#: Formulas come again in many letters.
-_sentence = lru_cache(maxsize=30_000)(_read)
+    def label(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for analyse, body, register, address in batches:
+            rows = []
+            for a, b, r, d in zip(analyse, body, register, address, strict=True):
+                rows.append((*([*sorted(named_in(t, shared.value, known))] for t in (a, b, r)), for_clergy(d)))
+            yield pd.DataFrame(rows, columns=["abstract", "body", "register", "clergy"])
 
+    return F.pandas_udf(label, "struct<abstract:array<string>,body:array<string>,register:array<string>,clergy:boolean>")
 
-def _label(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for analyse, body, register, address in batches:
-        rows = []
-        for a, b, r, d in zip(analyse, body, register, address, strict=True):
-            rows.append(([*sorted(named_in(a))], [*sorted(named_in(b))], [*sorted(named_in(r))], bool(d and CLERGY.match(fold(d)))))
-        yield pd.DataFrame(rows, columns=["abstract", "body", "register", "clergy"])
+
+def _features_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for parts in batches:
+        yield pd.Series([sorted({f for t in texts for x in sentences(t) for f in features(x)}) for texts in zip(*parts, strict=True)])
+
+
+def learn_lexicon(letters: DataFrame, coded: DataFrame, subjects: DataFrame, max_labelled: int = 10_000, min_letters: int = 5, min_share: float = 0.5, z: float = 2.0, max_words: int = 50_000) -> Lexicon:
+    """The lexicon of the letters (item_id_telma, analyse, transcription, regeste) with codes (item_id_telma, code).
+
+    It is fitted on at most max_labelled coded letters, those of the least hash. A word is taken for the code it goes
+    with in at least min_share of min_letters letters or more, if the lower bound of that share (at z standard errors)
+    is at least 0.4 and 1.6 times the share of the code. At most max_words come to the driver, the surest first.
+    """
+    names = tuple(sorted(r["subject"] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect()))  # the subject list: fixed and small
+    of = {s: i for i, s in enumerate(names)}
+    ids = letters.select("item_id_telma").distinct().join(coded, "item_id_telma").orderBy(F.xxhash64("item_id_telma", F.lit(7)), "item_id_telma").limit(max_labelled)
+    ids = checkpoint(ids)
+    texts = ("analyse", "transcription", "regeste")
+    fits = letters.join(F.broadcast(ids), "item_id_telma").groupBy("item_id_telma", "code").agg(F.min(F.struct(*texts)).alias("r")).select("item_id_telma", "code", "r.*")  # bounded
+    seen = checkpoint(fits.select("code", F.pandas_udf(_features_of, "array<string>")(*texts).alias("f")).select("code", F.explode("f").alias("word")).groupBy("word", "code").agg(F.count("*").alias("k")))
+    share = {r["code"]: r["n"] for r in ids.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    total = sum(share.values())
+    top = seen.groupBy("word").agg(F.sum("k").alias("n"), F.max(F.struct("k", "code")).alias("top")).where(F.col("n") >= min_letters)
+    p = F.col("top.k") / F.col("n")
+    n = F.col("n")
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    words: dict[str, int] = {}
+    if total:
+        usual = F.element_at(F.create_map(*[x for c, m in share.items() for x in (F.lit(c), F.lit(m / total))]), F.col("top.code"))
+        sure = top.withColumn("low", low).where((p >= min_share) & (F.col("low") >= F.greatest(F.lit(0.4), 1.6 * usual)))
+        words = {r["word"]: of[r["code"]] for r in sure.orderBy(F.desc("low"), "word").limit(max_words).select("word", "top.code").collect()}
+    stems: dict[str, int] = {}
+    for r in sorted(subjects.where("subject IS NOT NULL").select("subject", "description").distinct().collect(), key=lambda r: (r["subject"], r["description"] or "")):
+        if of[r["subject"]] not in words.values() and r["subject"] != "other":
+            for w in _WORDS.findall(fold_text(f"{r['subject']} {r['description'] or ''}".replace("_", " "))):
+                if len(w) >= STEM:
+                    stems.setdefault(w[:STEM], of[r["subject"]])
+    return Lexicon(names, words, stems)
 
 
 def learn(patterns: list[tuple[str, str, int]], rounds: int = 100) -> dict[tuple[str, str], float]:
@@ -133,20 +204,30 @@ def assign(letters: DataFrame, codes: DataFrame, subjects: DataFrame, at_least:
     subject. Repeated letters count once; codes that are no subject, however written, say nothing.
     """
     spark = letters.sparkSession
-    known = [r["subject"] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect()]  # the subject list: fixed and small
-    label = F.pandas_udf(_label, "struct<abstract:array<string>,body:array<string>,register:array<string>,clergy:boolean>")
-    own = letters.where("item_id_telma IS NOT NULL").groupBy("item_id_telma").agg(F.min_by(F.struct("analyse", "transcription", "regeste", "destinataire"), F.xxhash64("analyse", "transcription", "regeste", "destinataire")).alias("r")).select("item_id_telma", "r.*")
+    letters = letters.where("item_id_telma IS NOT NULL").select("item_id_telma", "analyse", "transcription", "regeste", "destinataire")
     filled = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
-    own = own.where(filled("analyse") | filled("transcription"))
-    said = own.withColumn("s", label("analyse", "transcription", "regeste", "destinataire")).select("item_id_telma", filled("analyse").alias("has_a"), filled("transcription").alias("has_t"), filled("regeste").alias("has_r"), filled("destinataire").alias("has_d"), "s.*")
+    letters = letters.where(filled("analyse") | filled("transcription"))
+    subjects = subjects.select("subject", "description") if "description" in subjects.columns else subjects.select("subject", F.lit("").alias("description"))
+    known = sorted(r["subject"] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect())  # the subject list: fixed and small
     word = F.regexp_replace(F.lower(F.trim("domain")), "[^a-z]+", "_")
-    coded = codes.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("item_id_telma"), word.alias("code")).where(F.col("code").isin(known)).groupBy("item_id_telma").agg(F.collect_set("code").alias("code"))
+    plain = codes.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("item_id_telma"), word.alias("code")).where(F.col("code").isin(known)).distinct()
+    plain = checkpoint(plain)
+    label = _labeller(spark, learn_lexicon(letters, plain, subjects))
+    # labelled as they are read; repeated letters are dropped afterwards, so no text is shuffled
+    texts = ("analyse", "transcription", "regeste", "destinataire")
+    said = spread(letters.select("item_id_telma", *texts)).select("item_id_telma", F.xxhash64(*texts).alias("h"), filled("analyse").alias("has_a"), filled("transcription").alias("has_t"), filled("regeste").alias("has_r"), filled("destinataire").alias("has_d"), label(*texts).alias("s"))
+    said = said.groupBy("item_id_telma").agg(F.min(F.struct("h", "has_a", "has_t", "has_r", "has_d", "s")).alias("r")).select("item_id_telma", "r.has_a", "r.has_t", "r.has_r", "r.has_d", "r.s.*")
+    coded = plain.groupBy("item_id_telma").agg(F.collect_set("code").alias("code"))
     said = checkpoint(said.join(coded, "item_id_telma", "left"))
+    # subjects whose coded letters go to the clergy more often than others do
+    rates = {r["c"]: (r["n"], r["k"]) for r in said.where("has_d AND code IS NOT NULL").select(F.explode("code").alias("c"), "clergy").groupBy("c").agg(F.count("*").alias("n"), F.count_if("clergy").alias("k")).collect()}
+    usual = sum(k for _, k in rates.values()) / max(1, sum(n for n, _ in rates.values()))
+    to_clergy = [c for c, (n, k) in rates.items() if k / n > usual]
     vote = lambda has, yes: F.when(~has, "-").when(yes, "y").otherwise("n")
     has = lambda c: F.array_contains(c, F.col("subject"))
     # a section in which no subject is named at all says nothing
     said_any = lambda flag, c: F.col(flag) & (F.size(c) > 0)
-    clerical = F.col("subject").startswith("ecclesiastical") | (F.col("subject") == "excommunication")
+    clerical = F.col("subject").isin(to_clergy) if to_clergy else F.lit(False)
     pattern = F.concat(vote(said_any("has_a", "abstract"), has("abstract")), vote(said_any("has_t", "body"), has("body")), vote(said_any("has_r", "register"), has("register")), vote(F.col("has_d"), F.col("clergy") == clerical), vote(F.col("code").isNotNull(), F.coalesce(has("code"), F.lit(False))))
     votes = said.withColumn("subject", F.explode(F.array(*[F.lit(s) for s in known]))).select("item_id_telma", "subject", pattern.alias("pattern")) if known else said.select("item_id_telma", F.lit("").alias("subject"), F.lit("").alias("pattern")).limit(0)
     counts = [(r["subject"], r["pattern"], r["n"]) for r in votes.groupBy("subject", "pattern").agg(F.count("*").alias("n")).collect()]  # at most 3^5 per subject
