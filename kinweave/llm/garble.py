@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.runtime import checkpoint
+from kinweave.runtime import checkpoint, spread
 
 #: Tables that UTF-8 bytes were shown through, in order of preference.
 VIEWS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "cp1254", "cp866")
@@ -116,12 +116,13 @@ def _spans(text: str, view: str) -> list[tuple[int, int, str]]:
     return [(a, b, d) for a, b, d in found if _accept(view, text, a, b, d, near)]
 
 
-def decode_spans(text: str, max_layers: int = 4) -> tuple[str, int]:
-    """The text with its garbled multibyte spans decoded, and the number of spans."""
+def decode_spans(text: str) -> tuple[str, int]:
+    """The text with its garbled multibyte spans decoded, layer by layer until none is left, and the number of spans.
+
+    A decoded span is shorter than what stood there, so the layers come to an end.
+    """
     total = 0
-    for _ in range(max_layers):
-        if text.isascii():
-            break
+    while not text.isascii():
         chars = set(text)
         able = [v for v in VIEWS if not chars.isdisjoint(_ends(v)[0]) and not chars.isdisjoint(_ends(v)[1])]
         by_view = {v: s for v in able if (s := _spans(text, v))}
@@ -247,7 +248,7 @@ def repair(docs: DataFrame, key: str = "doc_id", text: str = "text", min_count:
     replace = F.pandas_udf(_replace, "string")
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     strange = F.coalesce(F.col("t").rlike("[^\\x00-\\x7f]"), F.lit(False))
-    plain, other = base.where(~strange), base.where(strange)
+    plain, other = base.where(~strange), spread(base.where(strange))
     scanned = other.withColumn("s", scan("t")).select("k", F.xxhash64("t").alias("h"), "s.*")
     scanned = checkpoint(scanned if restore else scanned.drop("text"))
     counts = checkpoint(scanned.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
