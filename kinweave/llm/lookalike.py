@@ -19,18 +19,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.runtime import checkpoint
+from kinweave.runtime import checkpoint, spread
 
 #: Letters of other scripts that look like Latin ones.
 CYRILLIC_TO_LATIN = dict(zip("АВСЕНІЈКМОРЅТХУӀаеіјорсѕхуԁԛԝһӏёїЁЇ", "ABCEHIJKMOPSTXYIaeijopcsxydqwhlëïËÏ", strict=True))
 GREEK_TO_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιικνορυχγητωϲϳ", "ABEZHIKMNOPTYXaiikvopuxyntwcj", strict=True))
-OTHER_TO_LATIN = {"ɑ": "a", "ɡ": "g", "ı": "i", "օ": "o", "ո": "n", "ս": "u", "հ": "h"}
-LATIN_FROM = CYRILLIC_TO_LATIN | GREEK_TO_LATIN | OTHER_TO_LATIN
-_COMPAT = re.compile("[！-～ﬀ-ﬆⅠ-ⅿ\U0001d400-\U0001d7ff]+")
+ARMENIAN_TO_LATIN = dict(zip("օոսհցյՕՏԼ", "onuhgjOSL", strict=True))
+CHEROKEE_TO_LATIN = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴꭵ", "DRTAJEWMHYGZVSLCPKBi", strict=True))
+LISU_TO_LATIN = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+COPTIC_TO_LATIN = dict(zip("ⲞⲟⲢⲣⲤⲥⲚⲘ", "OoPpCcNM", strict=True))
+#: Letters for sounds that look like Latin ones.
+PHONETIC_TO_LATIN = dict(zip("ɑɡɪᴄᴏᴜᴠᴡᴢꜱƄƅ", "agicouvwzsbb", strict=True))
+LATIN_FROM = CYRILLIC_TO_LATIN | GREEK_TO_LATIN | ARMENIAN_TO_LATIN | CHEROKEE_TO_LATIN | LISU_TO_LATIN | COPTIC_TO_LATIN | PHONETIC_TO_LATIN | {"ı": "i"}
+#: Ordinary letters in another type: what Unicode itself declares a font variant, full-width forms, ligatures, numerals.
+_FONTS = "".join(chr(c) for c in (*range(0x2100, 0x2150), *range(0x1D400, 0x1D800), *range(0xFB20, 0xFB2A)) if unicodedata.decomposition(chr(c)).startswith("<font>"))
+_COMPAT = re.compile(f"[！-～ﬀ-ﬆⅠ-ⅿ{_FONTS}]+")
 _BLANK = re.compile("[\t\u000b\u000c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")  # line ends are none
 _UNSEEN = re.compile("[\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0100-\U000e01ef]")
 _HYPHEN = re.compile("[‐‑]")
-_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u1f00-\u1fff" + "".join(OTHER_TO_LATIN) + "]")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u1f00-\u1fff\u13a0-\u13ff\uab70-\uabbf\ua4d0-\ua4ff\u2c80-\u2cff" + "".join(PHONETIC_TO_LATIN) + "]")
 _APART = re.compile("[^̀-ͯ][̀-ͯ]+")
 _UNIT = re.compile(r"[^ \n\r]+")
 
@@ -43,7 +50,15 @@ def _script(ch: str) -> str:
         return "C"
     if 0x530 <= c <= 0x58F:
         return "A"
-    return "L" if c < 0x250 or 0x1E00 <= c <= 0x1EFF or c in (0x251, 0x261) else "X"
+    if 0x13A0 <= c <= 0x13FF or 0xAB70 <= c <= 0xABBF:
+        return "K"
+    if 0xA4D0 <= c <= 0xA4FF:
+        return "S"
+    if 0x2C80 <= c <= 0x2CFF:
+        return "P"
+    if ch in PHONETIC_TO_LATIN:
+        return "O"
+    return "L" if c < 0x250 or 0x1E00 <= c <= 0x1EFF else "X"
 
 
 def _ordinary(text: str) -> str:
@@ -167,7 +182,7 @@ def unify(values: DataFrame) -> DataFrame:
     units = F.pandas_udf(_units, "array<struct<pos:int,unit:string,mapped:string,plain:string>>")
     put_back = F.pandas_udf(_put_back, "string")
     base = values.select("field_name", "record_key", "value").distinct()
-    odd = base.where(F.col("value").rlike("[^\\x0a\\x0d\\x20-\\x7e]"))
+    odd = spread(base.where(F.col("value").rlike("[^\\x0a\\x0d\\x20-\\x7e]")))
     found = checkpoint(odd.withColumn("u", units("value")).select("field_name", "record_key", "value", F.explode("u").alias("u")).select("field_name", "record_key", F.xxhash64("value").alias("h"), "u.*"))
     known = checkpoint(canonical_units(found.select("unit", "mapped", "plain").distinct()))
     fixes = found.join(known, ["unit", "mapped"]).where("unit <> canonical").groupBy("field_name", "record_key", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "canonical"))).alias("fix"))
@@ -178,7 +193,7 @@ def unify(values: DataFrame) -> DataFrame:
 def found_records(values: DataFrame) -> DataFrame:
     """(field_name, record_key) of the values with a unit that isn't the canonical member of its class."""
     units = F.pandas_udf(_units, "array<struct<pos:int,unit:string,mapped:string,plain:string>>")
-    odd = values.where(F.col("value").rlike("[^\\x0a\\x0d\\x20-\\x7e]"))
+    odd = spread(values.where(F.col("value").rlike("[^\\x0a\\x0d\\x20-\\x7e]")))
     found = checkpoint(odd.withColumn("u", units("value")).select("field_name", "record_key", F.explode("u").alias("u")).select("field_name", "record_key", "u.unit", "u.mapped", "u.plain").distinct())
     known = canonical_units(found.select("unit", "mapped", "plain").distinct()).where("unit <> canonical").select("unit", "mapped")
     return found.join(known, ["unit", "mapped"], "left_semi").select("field_name", "record_key").distinct()
