@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 16_000_000
 #: How the vocabulary's authors cut text into words before merging.
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
         for s in batches:
             yield pd.Series([np.array(t.encode(x), dtype=np.int32) if x else np.empty(0, np.int32) for x in s])
 
-    return docs.withColumn(into, F.pandas_udf(run, "array<int>")(F.col(text)))
+    return spread(docs).withColumn(into, F.pandas_udf(run, "array<int>")(F.col(text)))
 
 
 def count_tokens(docs: DataFrame, text: str = "text", into: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -196,7 +198,7 @@ def count_tokens(docs: DataFrame, text: str = "text", into: str = "n_tokens", vo
         for s in batches:
             yield pd.Series([len(t.encode(x)) if x else 0 for x in s], dtype="int64")
 
-    return docs.withColumn(into, F.pandas_udf(run, "long")(F.col(text)))
+    return spread(docs).withColumn(into, F.pandas_udf(run, "long")(F.col(text)))
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

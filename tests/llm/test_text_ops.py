@@ -177,3 +177,26 @@ def test_mixture_reaches_shares(spark, transducer):
     s = {x["source"]: x for x in short.collect()}
     assert not s["big"]["reachable"] and s["big"]["max_copies"] == 1 and s["small"]["max_copies"] == 3
     assert mixing.mix(docs.limit(0), goal)[0].count() == 0
+
+
+# ---- further letters, layers and totals
+
+
+def test_letters_of_more_scripts():
+    assert [lookalike.consistent(t) for t in ("Ꮯarolus", "ꓐerta", "dꭵx", "cᴏmes", "ℓex", "𝐀bbas", "ɑbbas")] == ["Carolus", "Berta", "dix", "comes", "lex", "Abbas", "abbas"]
+    assert lookalike.consistent("ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ") == "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ"  # words truly of that script
+
+
+def test_garbled_many_times():
+    text = "déjà prieuré"
+    for _ in range(6):
+        text = text.encode("utf-8").decode("latin-1")
+    assert garble.decode_spans(text)[0] == "déjà prieuré"
+
+
+def test_total_is_bounded_below(spark):
+    docs = spark.createDataFrame([(i, "big" if i else "small", "word " * 50) for i in range(41)], "doc_id int, source string, text string")
+    goal = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], "source string, target_share double, max_repeats int")
+    used = lambda least: {r["source"]: (r["used_share"], r["reachable"]) for r in mixing.mix(docs, goal, least_used=least)[1].collect()}
+    assert used(0.0)["big"][0] < 0.05 and used(0.0)["small"] == (1.0, True)
+    assert used(0.5)["small"] == (1.0, False) and 0.2 < used(0.5)["big"][0] < 0.3
