@@ -32,8 +32,8 @@ COPTIC_TO_LATIN = dict(zip("ⲞⲟⲢⲣⲤⲥⲚⲘ", "OoPpCcNM", strict=True))
 PHONETIC_TO_LATIN = dict(zip("ɑɡɪᴄᴏᴜᴠᴡᴢꜱƄƅ", "agicouvwzsbb", strict=True))
 LATIN_FROM = CYRILLIC_TO_LATIN | GREEK_TO_LATIN | ARMENIAN_TO_LATIN | CHEROKEE_TO_LATIN | LISU_TO_LATIN | COPTIC_TO_LATIN | PHONETIC_TO_LATIN | {"ı": "i"}
 #: Ordinary letters in another type: what Unicode itself declares a font variant, full-width forms, ligatures, numerals.
-_FONTS = "".join(chr(c) for c in (*range(0x2100, 0x2150), *range(0x1D400, 0x1D800), *range(0xFB20, 0xFB2A)) if unicodedata.decomposition(chr(c)).startswith("<font>"))
-_COMPAT = re.compile(f"[！-～ﬀ-ﬆⅠ-ⅿ{_FONTS}]+")
+_FONTS = "".join(chr(c) for c in range(0x2100, 0x2150) if unicodedata.decomposition(chr(c)).startswith("<font>"))
+_COMPAT = re.compile(f"[！-～ﬀ-ﬆⅠ-ⅿ{_FONTS}\U0001d400-\U0001d7ff]+")
 _BLANK = re.compile("[\t\u000b\u000c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")  # line ends are none
 _UNSEEN = re.compile("[\u0000-\u0008\u000e-\u001f\u007f-\u0084\u0086-\u009f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0100-\U000e01ef]")
 _HYPHEN = re.compile("[‐‑]")
