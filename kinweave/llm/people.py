@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from kinweave.llm import names
 from kinweave.runtime import broadcast_if_small, checkpoint
 
+FORM = ("given", "cls", "latin", "short")  # what a gid stands for
 PARTS = "struct<given:string,stem:string,initial:string,short:boolean,numeral:int,epithet:string,place:string,rank:string,sex:string>"
 
 
@@ -66,16 +66,30 @@ def latin_classes(quotes: DataFrame, classes: DataFrame) -> DataFrame:
 def classed(df: DataFrame, classes: DataFrame) -> DataFrame:
     """df with cls and latin: the mined class of the given name, or its own stem and form."""
     out = df.join(broadcast_if_small(classes), "given", "left")
-    return out.withColumn("cls", F.coalesce("cls", "stem")).withColumn("latin", F.coalesce("latin", "given"))
+    out = out.withColumn("cls", F.coalesce("cls", "stem")).withColumn("latin", F.coalesce("latin", "given"))
+    return out.withColumn("gid", F.xxhash64("given", "cls", "latin", "short"))
 
 
 @dataclass
 class People:
-    """Parsed and classed persons (one row per id), quotes (one row per match_id) and like places, each written once."""
+    """Parsed and classed persons (one row per id), quotes (one row per match_id), like places and what a gid stands for
+    (given, cls, latin, short), each written once."""
 
     who: DataFrame
     said: DataFrame
     near: DataFrame
+    forms: DataFrame
+
+
+def given_scores(pairs: DataFrame, people: People) -> DataFrame:
+    """pairs (gid, gid2, ...) with g, the similarity of the given names; every pair of distinct forms is scored once."""
+    met = pairs.select("gid", "gid2").distinct()
+    one = people.forms
+    two = one.select(*[F.col(c).alias(c + "2") for c in one.columns])
+    score = F.pandas_udf(_given, "double")
+    scores = met.join(broadcast_if_small(one), "gid").join(broadcast_if_small(two), "gid2")
+    scores = checkpoint(scores.select("gid", "gid2", score(*[c + x for x in ("", "2") for c in FORM]).alias("g")))
+    return pairs.join(broadcast_if_small(scores), ["gid", "gid2"])
 
 
 def prepare(persons_df: DataFrame, quotes: DataFrame) -> People:
@@ -84,8 +98,10 @@ def prepare(persons_df: DataFrame, quotes: DataFrame) -> People:
     rows = quotes.where("match_id IS NOT NULL").groupBy("match_id").agg(F.min(F.struct("doc_id", "doc_year", "person_id", "quoted_latin")).alias("r")).select("match_id", "r.*")
     said = checkpoint(parsed(rows, "quoted_latin"))
     classes = checkpoint(mine_classes(who, said))
-    near = checkpoint(near_places(who.select("place").union(said.select("place"))))
-    return People(checkpoint(classed(who, classes)), checkpoint(classed(said, latin_classes(said, classes))), near)
+    near = near_places(who.select("place").union(said.select("place")))
+    who, said = checkpoint(classed(who, classes)), checkpoint(classed(said, latin_classes(said, classes)))
+    forms = checkpoint(who.select("gid", *FORM).union(said.select("gid", *FORM)).where("given <> ''").distinct())
+    return People(who, said, near, forms)
 
 
 @lru_cache(maxsize=50_000)
@@ -154,63 +170,53 @@ def place_similarity(a: str, b: str) -> float:
     return jaro_winkler(x, y)
 
 
-#: Of two rows with SIDE and SIDE2: the one case in which given_similarity is 0 whatever the spelling, two common names.
-AGREE = "NOT (cls LIKE '=%' AND cls2 LIKE '=%' AND cls <> cls2 AND NOT short AND NOT short2)"
+def _given(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for cols in batches:
+        yield pd.Series([given_similarity(a, b, c, bool(d), e, f, g, bool(h)) for a, b, c, d, e, f, g, h in zip(*cols, strict=True)], dtype="float64")
 
 
-def _letters(words: list[str], column: dict) -> np.ndarray:
-    """A row per word, a column per letter and how often it has come: two rows' product is the letters in common."""
-    out = np.zeros((len(words), len(column)), dtype="float32")
-    for i, w in enumerate(words):
-        seen: dict = {}
-        for c in w:
-            seen[c] = seen.get(c, 0) + 1
-            out[i, column[c, seen[c]]] = 1.0
-    return out
+#: Of two rows with SIDE and SIDE2: the one case in which given_similarity is 0 whatever the spelling, two common names.
+AGREE = "NOT (cls LIKE '=%' AND cls2 LIKE '=%' AND cls <> cls2 AND NOT short AND NOT short2)"
 
 
-def like_places(a: list[str], b: list[str], least: float) -> list[tuple[int, int, float]]:
-    """(i, j, similarity) of all places a[i], b[j] whose place_similarity is at least least.
+def phonetic_codes(place: str) -> list[str]:
+    """Codes of a place, of which two spellings of one place share at least one.
 
-    Jaro-Winkler can't reach the threshold with fewer letters in common than its formula asks for, so what one matrix
-    product rules out needs no comparison; the bound is exact, nothing is lost.
+    A code is the word in coarse spelling without its vowels, the first letter kept. It stands with up to two of its
+    letters left out, so two slips in the consonants, and any number in the vowels, leave a code in common; its
+    beginning stands with up to one left out, for stems of different length.
     """
-    x, y = [names.sound(t) for t in a], [names.sound(t) for t in b]
-    column: dict = {}
-    for w in (*x, *y):
-        seen: dict = {}
-        for c in w:
-            seen[c] = seen.get(c, 0) + 1
-            column.setdefault((c, seen[c]), len(column))
-    common = _letters(x, column) @ _letters(y, column).T
-    size = lambda words: np.array([max(1, len(w)) for w in words], dtype="float32")
-    start = lambda words, pad: np.array([[ord(w[k]) if k < len(w) else pad for k in range(4)] for w in words], dtype="int32").reshape(-1, 4)
-    same = np.cumprod(start(x, -1)[:, None, :] == start(y, -2)[None, :, :], axis=2, dtype="int8").sum(axis=2)
-    jaro = (least - 0.1 * same) / (1 - 0.1 * same)
-    may = common * (1 / size(x)[:, None] + 1 / size(y)[None, :]) >= 3 * jaro - 1 - 1e-4
-    out = []
-    for i, j in zip(*np.nonzero(may), strict=True):
-        p = place_similarity(a[i], b[j])
-        if p >= least:
-            out.append((int(i), int(j), p))
-    return out
-
-
-def near_places(df: DataFrame, least: float = 0.86, tile: int = 1000) -> DataFrame:
-    """(place, place2) of all places of df, in both directions and with themselves, that place_similarity finds alike.
-
-    Every pair of distinct places is judged, tile by tile, so that no slip in a place parts a pair from its block.
+    s = names.sound(place)
+    k = s[:1] + "".join(c for c in s[1:] if c not in "aeiou")
+    out = {k}
+    for r in (1, 2):
+        out |= {"".join(c for i, c in enumerate(k) if i not in cut) for cut in combinations(range(len(k)), r)}
+    out = {c for c in out if len(c) >= 2} | {k}
+    start = k[:5]
+    if len(start) >= 4:
+        out |= {"t:" + start} | {f"t:{start[:i]}{start[i + 1 :]}" for i in range(len(start))}
+    if len(s) >= 5:
+        out.add("p:" + s[:5])
+    return sorted(out)
+
+
+def near_places(df: DataFrame, least: float = 0.86) -> DataFrame:
+    """(place, place2, p) of places of df, in both directions and with themselves, that place_similarity finds alike.
+
+    Distinct places meet in the blocks of their phonetic codes; each pair is judged once.
     """
     words = checkpoint(df.where("place <> ''").distinct())
-    tiles = max(1, math.ceil(words.count() / tile))
-    own = F.pmod(F.xxhash64("place"), F.lit(tiles)).cast("int")
-    dealt = words.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("place", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
-
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (sorted(rows.loc[rows["own"] == k, "place"]) for k in key)
-        found = [(a[i], b[j]) for i, j, _ in like_places(a, b, least)]
-        if key[0] != key[1]:
-            found += [(q, p) for p, q in found]
-        return pd.DataFrame(found, columns=["place", "place2"])
-
-    return dealt.groupBy("i", "j").applyInPandas(judge, "place string, place2 string")
+
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(phonetic_codes)
+
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([place_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    keyed = words.select("place", F.explode(F.pandas_udf(codes, "array<string>")("place")).alias("code"))
+    pairs = keyed.join(keyed.withColumnRenamed("place", "place2"), "code").where("place < place2").select("place", "place2").distinct()
+    found = checkpoint(pairs.withColumn("p", F.pandas_udf(judge, "double")("place", "place2")).where(F.col("p") >= least))
+    back = found.select(F.col("place2").alias("place"), F.col("place").alias("place2"), "p")
+    return checkpoint(found.union(back).union(words.select("place", F.col("place").alias("place2"), F.lit(1.0))))

@@ -1,20 +1,19 @@
 """Variant spellings of names: which entries, and which quotes of one letter, mean one person.
 
-Records that agree in all parts are one representative each. Representatives meet where their places are alike (all
-pairs of distinct places are judged, see people.near_places) and their years near; they are compared in given name (nickname table, Jaro-Winkler), place,
-numeral, epithet, rank, sex and years, and the accepted pairs are clustered by connected components.
+Records that agree in all parts are one representative each. The tokens of a name are sorted into given name, place and
+the rest. Representatives meet in blocks of the phonetic codes of their places (people.near_places) and of near years;
+they are compared in given name (nickname table, Jaro-Winkler), place, numeral, epithet, rank, sex and years, and the
+accepted pairs are clustered by connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import people as P
 from kinweave.operators.components import connected_components
+from kinweave.operators.relational import salted_join
 from kinweave.runtime import checkpoint
 
 LIFE = 95
@@ -22,22 +21,8 @@ SPAN = 50  # years of a block in which an entry with only a birth meets those wi
 SIDE = ("given", "cls", "latin", "short", "numeral", "epithet", "place", "rank", "sex")
 
 
-def _pair_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    for df in batches:
-        out = []
-        for r in df.itertuples(index=False):
-            g = P.given_similarity(r.given, r.cls, r.latin, bool(r.short), r.given2, r.cls2, r.latin2, bool(r.short2))
-            p = P.place_similarity(r.place, r.place2)
-            e = 1.0 if r.epithet == r.epithet2 else P.jaro_winkler(r.epithet, r.epithet2)
-            out.append((g, p, e))
-        yield pd.DataFrame(out, columns=["g", "p", "e"])
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    cols = [c for s in SIDE for c in (s, s + "2")]
-    score = F.pandas_udf(_pair_score, "struct<g:double,p:double,e:double>")
-    return pairs.withColumn("s", score(F.struct(*cols))).select("*", "s.*").drop("s")
-
+#: Epithets that are the same but for a slip in four letters.
+EPITHETS = "(epithet = epithet2 OR levenshtein(epithet, epithet2) * 4 <= greatest(length(epithet), length(epithet2)))"
 
 
 def _other(df: DataFrame) -> DataFrame:
@@ -67,17 +52,18 @@ def _over_gaps(gaps: DataFrame, reps: DataFrame, person: DataFrame) -> DataFrame
     return sure.select("rep", "rep2", F.lit(False).alias("short"), F.lit(False).alias("short2"), F.lit(2).alias("apart"))
 
 
-def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.86, min_place: float = 0.88) -> DataFrame:
+def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.86, min_place: float = 0.88, hot_rows: int = 100_000) -> DataFrame:
     """(id, component): ids that record one person carry one component (the smallest representative).
 
-    Only ids with a given name, a place and at least one year can be linked: without a year namesakes can't be told
-    apart. Years may differ by max_years; numerals and epithets have to agree. Persons with only births and persons with
+    Only ids with a given name and a place can be linked. One without any year is linked where all dated entries of its
+    given name's class, numeral and epithet at a like place are one person; otherwise namesakes can't be told apart. Years may differ by max_years; numerals and epithets have to agree. Persons with only births and persons with
     only deaths are linked by full names if the two years make a life of at most LIFE years and neither has another
     such partner. NULL names, empty tables and repeated
     rows give no links.
     """
-    usable = people.who.where("given <> '' AND place <> '' AND (birth IS NOT NULL OR death IS NOT NULL)")
-    parts = [*SIDE, "birth", "death"]
+    told = people.who.where("given <> '' AND place <> ''")
+    usable, undated = told.where("birth IS NOT NULL OR death IS NOT NULL"), told.where("birth IS NULL AND death IS NULL AND NOT short")
+    parts = [*SIDE, "gid", "birth", "death"]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("id").alias("rep")))
     # a block: a place and a year, in steps so that years within max_years share one; the left side stands in the blocks of
     # all places like its own
@@ -86,17 +72,17 @@ def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.8
     marks = lambda c: F.when(F.col(c).isNotNull(), F.transform(around(c), lambda y: F.concat(F.lit(c[0]), y.cast("string")))).otherwise(F.array().cast("array<string>"))
     lives = F.when(F.col("death").isNull(), F.sequence(F.floor(F.col("birth") / SPAN), F.floor((F.col("birth") + LIFE) / SPAN))).when(F.col("birth").isNull(), F.array(F.floor(F.col("death") / SPAN))).otherwise(F.array().cast("array<bigint>"))
     years = F.concat(marks("birth"), marks("death"), F.transform(lives, lambda y: F.concat(F.lit("l"), y.cast("string"))))
-    keyed = reps.withColumn("block", F.explode(years))
-    # blocks are joined with what rules pairs out; the other parts are joined to the pairs that are left
-    slim = keyed.select("block", "place", "rep", "birth", "death", "numeral", "sex", "rank")
+    slim = reps.withColumn("years", years).select("place", "years", F.explode("years").alias("block"), "rep", "birth", "death", "numeral", "sex", "rank", "epithet", "short", "gid")
     near = lambda c: f"({c} IS NULL OR {c}2 IS NULL OR abs({c} - {c}2) <= {max_years})"
     gap = "(birth IS NULL AND death2 IS NULL OR death IS NULL AND birth2 IS NULL)"
-    pairs = slim.join(people.near, "place").join(_other(slim).withColumnRenamed("block2", "block"), ["block", "place2"]).where(f"rep < rep2 AND {near('birth')} AND {near('death')} AND (NOT {gap} OR coalesce(death, death2) - coalesce(birth, birth2) BETWEEN 0 AND {LIFE}) AND (block NOT LIKE 'l%' OR {gap}) AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2)")
-    pairs = pairs.select("rep", "rep2").distinct().join(reps, "rep").join(_other(reps), "rep2")
+    left = slim.join(people.near, "place").drop("place")
+    pairs = salted_join(left, _other(slim).withColumnRenamed("block2", "block"), ["block", "place2"], hot_rows).where(f"rep < rep2 AND {near('birth')} AND {near('death')} AND (NOT {gap} OR coalesce(death, death2) - coalesce(birth, birth2) BETWEEN 0 AND {LIFE}) AND (block NOT LIKE 'l%' OR {gap}) AND numeral = numeral2 AND (sex = '' OR sex2 = '' OR sex = sex2) AND (rank = '' OR rank2 = '' OR rank = rank2) AND p >= {min_place} AND {EPITHETS}")
+    # a pair counts in the first block that it shares (pairs over a gap share no other kind), so no distinct follows
+    shared = f"IF({gap}, filter(array_intersect(years, years2), y -> y LIKE 'l%'), array_intersect(years, years2))[0]"
+    pairs = checkpoint(pairs.where(f"block = {shared}").select("rep", "rep2", "gid", "gid2", "short", "short2", "birth", "birth2", "death", "death2"))
     # two abbreviations tell less: then both years have to speak for it
     both = "(birth IS NOT NULL AND birth2 IS NOT NULL AND death IS NOT NULL AND death2 IS NOT NULL)"
-    scored = _scored(pairs)
-    good = scored.where(f"p >= {min_place} AND e >= 0.85 AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2) AND {both}) OR (g >= 0.8 AND (short OR short2)))")
+    good = P.given_scores(pairs, people).where(f"g >= {min_given} OR (g >= 0.7 AND (short OR short2) AND {both}) OR (g >= 0.8 AND (short OR short2))")
     apart = F.coalesce(F.abs(F.col("birth") - F.col("birth2")), F.lit(1)) + F.coalesce(F.abs(F.col("death") - F.col("death2")), F.lit(1))
     good = checkpoint(good.select("rep", "rep2", "short", "short2", apart.alias("apart"), F.expr(gap).alias("gap")))
     gaps, good = good.where("gap AND NOT short AND NOT short2").select("rep", "rep2"), good.where("NOT gap").drop("gap")
@@ -108,16 +94,22 @@ def variant_persons(people: P.People, max_years: int = 2, min_given: float = 0.8
     per = ends.groupBy("abbr", "full").agg(F.min("apart").alias("apart"))
     best = per.groupBy("abbr").agg(F.min("apart").alias("least"), F.min_by("full", "apart").alias("meant"))
     ties = per.join(best, "abbr").groupBy("abbr").agg(F.count_if(F.col("apart") == F.col("least")).alias("k"), F.first("meant").alias("meant"))
-    told = ties.select("abbr", F.when(F.col("k") == 1, F.col("meant")).alias("meant"))
-    fit = ends.join(told, "abbr").where("meant = full").select(F.col("abbr").alias("rep"), F.col("name").alias("rep2"))
-    vague = told.where("meant IS NULL").select(F.col("abbr").alias("rep"))
+    clear = ties.select("abbr", F.when(F.col("k") == 1, F.col("meant")).alias("meant"))
+    fit = ends.join(clear, "abbr").where("meant = full").select(F.col("abbr").alias("rep"), F.col("name").alias("rep2"))
+    vague = clear.where("meant IS NULL").select(F.col("abbr").alias("rep"))
     rest = good.where("short = short2").select("rep", "rep2").join(vague, "rep", "left_anti").join(vague.withColumnRenamed("rep", "rep2"), "rep2", "left_anti").select("rep", "rep2")
     links = fit.unionByName(rest).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     comp = connected_components(checkpoint(links), "a", "b")
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     same = [F.col(c).eqNullSafe(F.col("r_" + c)) for c in parts]
     right = named.select(*[F.col(c).alias("r_" + c) for c in parts], "component")
-    return usable.join(right, same).select("id", "component")
+    dated = checkpoint(usable.join(right, same).select("id", "component"))
+    # entries without a year: namesakes are one row per place and sex before they are met
+    kin = named.where("NOT short").groupBy("place", "cls", "numeral", "epithet", "sex").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    fits = undated.select("id", "place", "cls", "numeral", "epithet", "sex").join(people.near.select("place", F.col("place2").alias("place_")), "place").drop("place")
+    fits = fits.join(kin.withColumnRenamed("place", "place_").withColumnRenamed("sex", "sex2"), ["place_", "cls", "numeral", "epithet"]).where("sex = '' OR sex2 = '' OR sex = sex2")
+    alone = fits.groupBy("id").agg(F.min("lo").alias("component"), F.max("hi").alias("hi")).where("component = hi").select("id", "component")
+    return dated.unionByName(alone)
 
 
 def variant_quotes(people: P.People, min_given: float = 0.86, min_place: float = 0.86) -> DataFrame:
@@ -127,11 +119,12 @@ def variant_quotes(people: P.People, min_given: float = 0.86, min_place: float =
     that fits two different names of a place in the letter is too vague as well.
     """
     usable = people.said.where("doc_id IS NOT NULL AND quoted_latin IS NOT NULL AND given <> '' AND place <> ''")
-    parts = ["doc_id", *SIDE]
+    parts = ["doc_id", *SIDE, "gid"]
     reps = checkpoint(usable.groupBy(*parts).agg(F.min("match_id").alias("rep")))
     pairs = reps.join(people.near, "place").join(_other(reps).withColumnRenamed("doc_id2", "doc_id"), ["doc_id", "place2"]).where(f"rep < rep2 AND {P.AGREE}")
     pairs = pairs.where("(sex = '' OR sex2 = '' OR sex = sex2) AND (rank IN ('', 'lord') OR rank2 IN ('', 'lord') OR rank = rank2) AND (numeral = numeral2 OR numeral = 0 OR numeral2 = 0)")
-    good = checkpoint(_scored(pairs).where(f"p >= {min_place} AND (g >= {min_given} OR (g >= 0.7 AND (short OR short2)))").select("rep", "rep2", "short", "short2"))
+    pairs = checkpoint(pairs.where(F.col("p") >= min_place).select("rep", "rep2", "gid", "gid2", "short", "short2"))
+    good = checkpoint(P.given_scores(pairs, people).where(f"g >= {min_given} OR (g >= 0.7 AND (short OR short2))").select("rep", "rep2", "short", "short2"))
     # an abbreviation next to two persons of full names in its letter says nothing; spellings that are linked are one
     ends = _ends(good, _components(good.where("NOT short AND NOT short2")))
     vague = checkpoint(ends.groupBy(F.col("abbr").alias("rep")).agg(F.count_distinct("full").alias("k")).where("k > 1").select("rep"))
