@@ -424,10 +424,5 @@ def cluster_bootstrap(df: DataFrame, cluster: str, y: str, x: str, draws: int, s
     return t.select("draw", ((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))).alias("stat"))
 
 
-def grid(specs: dict[str, dict], run) -> dict[str, object]:
-    """run(**spec) for each named specification (OP-095, OP-220 to OP-229)."""
-    return {name: run(**spec) for name, spec in specs.items()}
-
-
 def z_to_p(z: float) -> float:
     return normal_two_sided(z)

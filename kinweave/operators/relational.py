@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -176,6 +177,42 @@ def full_join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on, "full_outer")
 
 
+def pick_columns(df: DataFrame, wanted: dict[str, list[str]]) -> list[Column]:
+    """For each name the first of its candidates that df has, renamed (OP-062); it is an error if df has none."""
+    out = []
+    for name, candidates in wanted.items():
+        found = next((c for c in candidates if c in df.columns), None)
+        if found is None:
+            raise ValueError(f"none of {candidates} for {name}")
+        out.append(F.col(found).alias(name))
+    return out
+
+
+def drop_levels(df: DataFrame, col: str, levels: list | None = None) -> DataFrame:
+    """Rows without the given levels of a column, or without its most frequent one, the least of equals (OP-076). Rows
+    with NULL stay."""
+    if levels is None:
+        largest = df.where(F.col(col).isNotNull()).groupBy(col).count().orderBy(F.desc("count"), col).limit(1).collect()  # one row
+        levels = [r[0] for r in largest]
+    return df.where(F.col(col).isNull() | ~F.col(col).isin(levels)) if levels else df
+
+
+def grid(spark, axes: dict[str, list]) -> DataFrame:
+    """Every combination of fixed lists (OP-095)."""
+    return spark.createDataFrame(list(product(*axes.values())), ", ".join(f"{a} string" for a in axes))
+
+
+def locate(anchors: DataFrame, persons: DataFrame, name: str) -> DataFrame:
+    """Anchors (id, name, ...) with found_id, the person (id, name) of that name, and a status: same id, other id,
+    several persons of the name (the least id is given), missing; id_known tells whether the anchor's own id is a
+    person's (OP-176)."""
+    by_name = persons.groupBy(F.col("name").alias("__name")).agg(F.count("*").alias("__n"), F.min("id").alias("found_id"))
+    ids = persons.select("id").distinct().withColumn("id_known", F.lit(True))
+    j = anchors.withColumn("__name", F.trim(name)).join(by_name, "__name", "left").join(ids, "id", "left")
+    status = F.when(F.col("found_id").isNull(), "missing").when(F.col("__n") > 1, "several").when(F.col("found_id") == F.col("id"), "same").otherwise("other")
+    return j.withColumn("status", status).withColumn("id_known", F.coalesce("id_known", F.lit(False))).drop("__name", "__n")
+
+
 def null_pairs(dyads: DataFrame, persons: DataFrame, k: int, seed: int, year: str = "year") -> DataFrame:
     """(dyad_id, a, b): k pairs of persons alive in the year of each dyad, drawn by hash (OP-097).
 

@@ -37,6 +37,22 @@ def p5_sources(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p5_found": p5_found, "p5_filled": p5_filled, "p5_sources": p5_sources}
 
 SQL = {
+    "p3_paths": """
+WITH RECURSIVE l AS (
+  SELECT DISTINCT parent_id AS p, child_id AS c FROM parent_pairs
+  WHERE parent_id IS NOT NULL AND child_id IS NOT NULL AND parent_id <> '' AND child_id <> ''),
+reach AS (SELECT p AS s, c AS t FROM l UNION SELECT reach.s, l.c FROM reach JOIN l ON l.p = reach.t),
+cyc AS (SELECT DISTINCT s AS v FROM reach WHERE s = t),
+n AS (SELECT p AS v FROM l UNION SELECT c FROM l EXCEPT SELECT v FROM cyc),
+u AS (SELECT c AS v, min(p) AS up FROM l WHERE p NOT IN (SELECT v FROM cyc) AND c NOT IN (SELECT v FROM cyc) GROUP BY 1),
+a AS (SELECT v, v AS anc FROM n UNION SELECT a.v, u.up FROM a JOIN u ON u.v = a.anc),
+z AS (SELECT anc AS v, count(*) AS size FROM a GROUP BY 1),
+heavy AS (SELECT max_by(u.v, (size, u.v)) AS v FROM u JOIN z ON z.v = u.v GROUP BY up),
+t AS (SELECT v, v AS root, 0 AS depth, v AS path, v AS chain, 0 AS pos FROM n WHERE v NOT IN (SELECT v FROM u)
+  UNION ALL SELECT u.v, t.root, t.depth + 1, t.path || '/' || u.v, CASE WHEN h.v IS NOT NULL THEN t.chain ELSE u.v END, CASE WHEN h.v IS NOT NULL THEN t.pos + 1 ELSE 0 END
+  FROM t JOIN u ON u.up = t.v LEFT JOIN heavy h ON h.v = u.v)
+SELECT t.v AS person_id, root AS root_id, depth, path, size - 1 AS n_descendants, chain AS chain_id, pos AS chain_pos FROM t JOIN z ON z.v = t.v
+UNION ALL SELECT v, 'cycle', -1, NULL, NULL, NULL, NULL FROM cyc""",
     "p3_found": """
 WITH RECURSIVE l AS (
   SELECT DISTINCT parent_id AS p, child_id AS c FROM parent_pairs
@@ -44,7 +60,7 @@ WITH RECURSIVE l AS (
 reach AS (SELECT p AS s, c AS t FROM l UNION SELECT reach.s, l.c FROM reach JOIN l ON l.p = reach.t),
 cyc AS (SELECT DISTINCT s AS v FROM reach WHERE s = t),
 roots AS (SELECT DISTINCT p AS r FROM l WHERE p NOT IN (SELECT c FROM l)),
-walk AS (SELECT r, r AS v, 0 AS d FROM roots UNION SELECT walk.r, l.c, walk.d + 1 FROM walk JOIN l ON l.p = walk.v WHERE walk.d < 100)
+walk AS (SELECT r, r AS v, 0 AS d FROM roots UNION SELECT walk.r, l.c, walk.d + 1 FROM walk JOIN l ON l.p = walk.v WHERE walk.d < (SELECT count(DISTINCT c) FROM l))
 SELECT v AS person_id, r AS root_id, CAST(min(d) AS INTEGER) AS depth FROM walk WHERE v NOT IN (SELECT v FROM cyc) GROUP BY v, r
 UNION ALL SELECT v, 'cycle', -1 FROM cyc""",
     "p5_found": """

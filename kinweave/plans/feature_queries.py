@@ -9,7 +9,7 @@ from kinweave.functions import scalars as S
 from kinweave.functions import stats
 from kinweave.functions import text as X
 from kinweave.operators import community, econ, graph, panel, relational
-from kinweave.plans.graph_queries import KIN, REG, Kin, _reg, ball, features
+from kinweave.plans.graph_queries import KIN, REG, ROLES, Kin, _reg, ball, features
 from kinweave.plans.relational_queries import part_lives, r6
 from kinweave.runtime import table
 
@@ -269,7 +269,7 @@ def op_154_top(spark, sf):
     return table(spark, sf, "customer").orderBy(F.col("c_acctbal").desc_nulls_last(), "c_custkey").limit(20).select("c_custkey")
 
 
-@query()
+@query(ROLES.replace("{hops}", "6") + "SELECT seed, role, " + ", ".join(f"count(DISTINCT CASE WHEN d <= {h} THEN label END) AS reach_{h}, count(*) FILTER (d BETWEEN 1 AND {h}) AS nodes_{h}" for h in (3, 4, 5, 6)) + " FROM B LEFT JOIN L ON id = node GROUP BY 1, 2")
 def op_164_hop_sweep(spark, sf):
     k = Kin(spark, sf)
     ball = graph.gated_ball(graph.role_seeds(k.persons, k.kin), k.adj, k.births, 6)
@@ -303,7 +303,8 @@ def op_188_male_line_descendants(spark, sf):
     return d.groupBy("root").agg((F.count("*") - 1).alias("n"))
 
 
-@query()
+@query(KIN + """, S AS (SELECT s AS node, 0 AS depth FROM (SELECT s, count(*) AS n FROM ADJ GROUP BY 1 ORDER BY n DESC, s LIMIT 1)), W AS (SELECT node, depth FROM S UNION SELECT t, depth + 1 FROM W JOIN ADJ ON s = node WHERE depth < 2)
+SELECT node, min(depth) AS depth, any_value(label) AS label FROM W LEFT JOIN L ON id = node GROUP BY 1""")
 def op_194_ego_network(spark, sf):
     k = Kin(spark, sf)
     seed = k.adj.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "s").first()
@@ -319,10 +320,14 @@ def op_197_group_region(spark, sf):
     return r6(panel.mode_label(m.join(k.labels, "id"), ["label"], "doc_region"))
 
 
-@query()
+@query("""WITH d AS (SELECT ln(1 + l_extendedprice) AS y, l_quantity AS x, l_discount AS w, l_quantity + l_tax * 10 AS z, l_returnflag AS fe FROM lineitem), e AS (SELECT *, x * w AS x2, z * w AS z2 FROM d),
+m AS (SELECT y - avg(y) OVER p AS y, x - avg(x) OVER p AS x, w - avg(w) OVER p AS w, z - avg(z) OVER p AS z, x2 - avg(x2) OVER p AS x2, z2 - avg(z2) OVER p AS z2 FROM e WINDOW p AS (PARTITION BY fe)),
+q AS (SELECT y - w * (sum(y * w) OVER () / sum(w * w) OVER ()) AS y, x - w * (sum(x * w) OVER () / sum(w * w) OVER ()) AS x, z - w * (sum(z * w) OVER () / sum(w * w) OVER ()) AS z, x2 - w * (sum(x2 * w) OVER () / sum(w * w) OVER ()) AS x2, z2 - w * (sum(z2 * w) OVER () / sum(w * w) OVER ()) AS z2 FROM m),
+s AS (SELECT sum(z * x) AS a, sum(z * x2) AS b, sum(z2 * x) AS c, sum(z2 * x2) AS d, sum(z * y) AS e, sum(z2 * y) AS f, count(*) AS n FROM q)
+SELECT 'x' AS term, round((d * e - b * f) / (a * d - b * c), 6) AS beta, n FROM s UNION ALL SELECT 'x2', round((a * f - c * e) / (a * d - b * c), 6), n FROM s""")
 def op_204_two_endogenous(spark, sf):
     d = _reg(spark, sf).withColumn("x2", F.col("x") * F.col("w")).withColumn("z2", F.col("z") * F.col("w"))
-    return r6(econ.tidy(spark, {"interaction": (econ.iv(d, "y", ["x", "x2"], ["z", "z2"], ["w"], ["fe"], ["l_suppkey"]), ["x", "x2"])}))
+    return r6(econ.tidy(spark, {"interaction": (econ.iv(d, "y", ["x", "x2"], ["z", "z2"], ["w"], ["fe"], ["l_suppkey"]), ["x", "x2"])}).select("term", "beta", "n"))
 
 
 @query(REG + """, b AS (SELECT sum(z * x) / sum(z * z) AS beta, count(*) AS n, sum(z * z) AS zz FROM m), s AS (SELECT g, sum(z * (x - beta * z)) AS s FROM m, b GROUP BY 1), c AS (SELECT sum(s * s) AS q, count(*) AS G FROM s)
@@ -346,27 +351,8 @@ def op_214_group_permutation(spark, sf):
     return r6(panel.perm_summary(draws.where("draw > 0"), float(observed)))
 
 
-@query()
-def op_220_spec_grid(spark, sf):
-    """Controls by sample: OLS of price on quantity without and with controls, for all lines and each flag (OP-095, OP-220 to OP-225)."""
-    d = _reg(spark, sf)
-    flags = sorted(r["fe"] for r in d.select("fe").distinct().collect())  # three values
-    specs = {f"{s}|{c}": (d if s == "all" else d.where(F.col("fe") == s), x, f if s == "all" else []) for s in ("all", *flags) for c, x, f in (("bare", ["x"], []), ("full", ["x", "w"], ["fe"]))}
-    fits = econ.grid({k: {"df": v[0], "x": v[1], "factors": v[2]} for k, v in specs.items()}, lambda df, x, factors: econ.ols(df, "y", x, factors, ["l_suppkey"]))
-    return r6(econ.tidy(spark, {k: (f, ["x"]) for k, f in fits.items()}))
-
-
-@query()
-def op_222_break_sweep(spark, sf):
-    """Slope on either side of several cuts of the order key's year, the middle left out (OP-058, OP-222)."""
-    d = table(spark, sf, "lineitem").select((800 + F.col("l_orderkey") % 600).alias("y"), F.col("l_quantity").alias("x"), F.log1p("l_extendedprice").alias("v"))
-    cuts = spark.createDataFrame([(c,) for c in (1000, 1050, 1100, 1150, 1200)], "cut int")
-    side = F.when(F.col("y") < F.col("cut") - 10, "before").when(F.col("y") > F.col("cut") + 10, "after")
-    j = d.crossJoin(F.broadcast(cuts)).withColumn("side", side).where("side IS NOT NULL")  # five rows
-    return r6(j.groupBy("cut", "side").agg(F.count("*").alias("n"), F.regr_slope("v", "x").alias("beta")))
-
-
-@query()
+@query(REG + """, b AS (SELECT sum(z * y) / sum(z * x) AS b, sum(z * x) AS w, count(*) AS n FROM m), s AS (SELECT g, sum(z * (y - b * x)) AS v FROM m, b GROUP BY 1), c AS (SELECT sum(v * v) AS q, count(*) AS G FROM s), sd AS (SELECT stddev_samp(x) AS sd FROM d)
+SELECT round(b * sd, 6) AS beta_per_sd, round(sqrt(q / (w * w) * G / (G - 1.0) * (n - 1.0) / (n - 4.0)) * sd, 6) AS se_per_sd FROM b, c, sd""")
 def op_229_scaled(spark, sf):
     d = _reg(spark, sf)
     sd = d.agg(F.stddev_samp("x").alias("s")).first()["s"]
@@ -374,31 +360,6 @@ def op_229_scaled(spark, sf):
     return spark.createDataFrame([(round(f["beta"] * sd, 6), round(f["se"] * sd, 6))], "beta_per_sd double, se_per_sd double")
 
 
-@query("""WITH s AS (SELECT l_suppkey AS g, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT g AS l_suppkey, round(v / (SELECT sum(v) FROM s), 6) AS share FROM s""")
-def op_230_leverage(spark, sf):
-    s = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("v"))
-    return r6(s.crossJoin(s.agg(F.sum("v").alias("t"))).select("l_suppkey", (F.col("v") / F.col("t")).alias("share")))  # one row
-
-
-@query()
-def op_231_seed_sweep(spark, sf):
-    """Partition redrawn by seed: number of communities and modularity of each draw."""
-    k = Kin(spark, sf)
-    e = graph.quotient_graph(k.spouses, k.labels)
-    rows = community._collect_small(e, 50_000)
-    total = sum(w for _, _, w in rows) or 1.0
-    out = []
-    for seed in range(10):
-        part = community.louvain(rows, seed)
-        deg: dict[str, float] = {}
-        for a, b, w in rows:
-            deg[part[a]] = deg.get(part[a], 0.0) + w
-            deg[part[b]] = deg.get(part[b], 0.0) + w
-        q = sum(w for a, b, w in rows if part[a] == part[b]) / total - sum(d * d for d in deg.values()) / (4 * total * total)
-        out.append((seed, len(set(part.values())), round(q, 6)))
-    return spark.createDataFrame(out, "seed int, n_communities int, modularity double")
-
-
 @query("""SELECT CASE WHEN l_tax < 0.001 THEN '<0.001' ELSE printf('%.3f', l_tax) END AS p, CASE WHEN l_tax < 0.01 THEN '***' WHEN l_tax < 0.05 THEN '**' WHEN l_tax < 0.1 THEN '*' ELSE '' END AS stars, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def op_027_formats(spark, sf):
     return table(spark, sf, "lineitem").groupBy(S.format_p("l_tax").alias("p"), S.stars("l_tax").alias("stars")).agg(F.count("*").alias("n"))

@@ -97,13 +97,16 @@ def op_163_gated_reach(spark, sf):
     return graph.reach(ball4(k), k.labels, [3, 4])
 
 
-@query(KIN + """, SEEDS AS (SELECT id AS seed, 'ego' AS role, id AS node, death + 1 AS cut FROM P WHERE death IS NOT NULL
+ROLES = KIN + """, SEEDS AS (SELECT id AS seed, 'ego' AS role, id AS node, death + 1 AS cut FROM P WHERE death IS NOT NULL
  UNION ALL SELECT child_id, 'mother', mother_id, birth FROM KIN JOIN P ON id = child_id WHERE mother_id IS NOT NULL AND birth IS NOT NULL
  UNION ALL SELECT child_id, 'father', father_id, birth FROM KIN JOIN P ON id = child_id WHERE father_id IS NOT NULL AND birth IS NOT NULL
  UNION ALL SELECT child_id, 'mgf', mgf_id, birth FROM KIN JOIN P ON id = child_id WHERE mgf_id IS NOT NULL AND birth IS NOT NULL),
-BALL AS (SELECT seed, role, cut, node, 0 AS d FROM SEEDS UNION SELECT seed, role, cut, p.id, BALL.d + 1 FROM BALL JOIN ADJ ON s = node JOIN P p ON p.id = t WHERE BALL.d < 3 AND p.birth < cut),
+BALL AS (SELECT seed, role, cut, node, 0 AS d FROM SEEDS UNION SELECT seed, role, cut, p.id, BALL.d + 1 FROM BALL JOIN ADJ ON s = node JOIN P p ON p.id = t WHERE BALL.d < {hops} AND p.birth < cut),
 B AS (SELECT seed, role, node, min(d) AS d FROM BALL GROUP BY 1, 2, 3)
-SELECT seed, role, count(DISTINCT CASE WHEN d <= 2 THEN label END) AS reach_2, count(*) FILTER (d BETWEEN 1 AND 2) AS nodes_2, count(DISTINCT label) AS reach_3, count(*) FILTER (d > 0) AS nodes_3 FROM B LEFT JOIN L ON id = node GROUP BY 1, 2""")
+"""
+
+
+@query(ROLES.replace("{hops}", "3") + """SELECT seed, role, count(DISTINCT CASE WHEN d <= 2 THEN label END) AS reach_2, count(*) FILTER (d BETWEEN 1 AND 2) AS nodes_2, count(DISTINCT label) AS reach_3, count(*) FILTER (d > 0) AS nodes_3 FROM B LEFT JOIN L ON id = node GROUP BY 1, 2""")
 def op_165_role_reach(spark, sf):
     k = Kin(spark, sf)
     return graph.reach(graph.gated_ball(graph.role_seeds(k.persons, k.kin), k.adj, k.births, 3), k.labels, [2, 3])
@@ -193,7 +196,7 @@ def op_174_propagate(spark, sf):
     return graph.propagate_labels(k.adj, anchors, 6)
 
 
-@query()
+@query(KIN + ", X0 AS MATERIALIZED (SELECT id, label, 0 AS pass FROM L)" + "".join(f", X{i} AS MATERIALIZED (SELECT * FROM X{i - 1} UNION ALL SELECT child_id, min(coalesce(f.label, m.label)), {i} FROM KIN LEFT JOIN X{i - 1} f ON f.id = father_id LEFT JOIN X{i - 1} m ON m.id = mother_id WHERE coalesce(f.label, m.label) IS NOT NULL AND child_id NOT IN (SELECT id FROM X{i - 1}) GROUP BY child_id)" for i in range(1, 31)) + " SELECT * FROM X30")
 def op_175_bilineal(spark, sf):
     k = Kin(spark, sf)
     return graph.bilineal_extension(k.labels, k.kin)
@@ -228,7 +231,9 @@ def op_184_spanning(spark, sf):
     return r6(graph.spanning_edges(graph.induced_window(k.adj, k.births, 1000, 1200), k.labels))
 
 
-@query()
+@query(KIN + """, W AS (SELECT id FROM P WHERE birth >= 1000 AND birth < 1200), E2 AS (SELECT DISTINCT s AS a, t AS b FROM ADJ WHERE s < t AND s IN (SELECT id FROM W) AND t IN (SELECT id FROM W)),
+V AS (SELECT a AS s, b AS t FROM E2 UNION SELECT b, a FROM E2), R AS (SELECT s AS id, s AS x FROM V UNION SELECT R.id, V.t FROM R JOIN V ON V.s = R.x), C AS (SELECT id, min(x) AS c FROM R GROUP BY 1),
+K AS (SELECT c FROM C GROUP BY c HAVING count(*) >= ceil(0.01 * (SELECT count(*) FROM C))) SELECT a, b FROM E2 JOIN C ON id = a WHERE c IN (SELECT c FROM K)""")
 def op_183_big_components(spark, sf):
     k = Kin(spark, sf)
     return graph.induced_window(k.adj, k.births, 1000, 1200, 0.01)

@@ -43,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def _own_folder(spark: SparkSession) -> str:
+def work_folder(spark: SparkSession) -> str:
     """This application's part of the checkpoint folder, deleted when the driver ends."""
     sc = spark.sparkContext
     folder = f"{ensure_checkpoint_dir(spark)}/kinweave-{sc.applicationId}"
@@ -63,13 +63,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     without bound. It also brings exact sizes for the planning of the next joins.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kw_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for files of this application in the shared folder."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete checkpoint tables that no later plan reads."""
     for df in frames:
