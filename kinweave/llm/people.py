@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -87,7 +88,7 @@ def given_scores(pairs: DataFrame, people: People) -> DataFrame:
     one = people.forms
     two = one.select(*[F.col(c).alias(c + "2") for c in one.columns])
     score = F.pandas_udf(_given, "double")
-    scores = met.join(broadcast_if_small(one), "gid").join(broadcast_if_small(two), "gid2")
+    scores = dealt(met.join(broadcast_if_small(one), "gid").join(broadcast_if_small(two), "gid2"))
     scores = checkpoint(scores.select("gid", "gid2", score(*[c + x for x in ("", "2") for c in FORM]).alias("g")))
     return pairs.join(broadcast_if_small(scores), ["gid", "gid2"])
 
@@ -158,18 +159,20 @@ def given_similarity(a: str, a_cls: str, a_latin: str, a_short: bool, b: str, b_
     return max(jaro_winkler(a_cls, b_cls), jaro_winkler(names.sound(a), names.sound(b)) if a and b else 0.0, jaro_winkler(names.sound(a), names.sound(b_latin)), jaro_winkler(names.sound(b), names.sound(a_latin)))
 
 
-@lru_cache(maxsize=20_000)
-def place_similarity(a: str, b: str) -> float:
-    """Jaro-Winkler of the stems; a misspelled ending leaves one stem the beginning of the other."""
-    if not a or not b:
+def sound_similarity(x: str, y: str) -> float:
+    """Jaro-Winkler of two stems in coarse spelling; a misspelled ending leaves one stem the beginning of the other."""
+    if not x or not y:
         return 0.0
-    x, y = names.sound(a), names.sound(b)
-    short, long = sorted((x, y), key=len)
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
     if len(short) >= 5 and long.startswith(short) and len(long) - len(short) <= 4:
         return 0.97
     return jaro_winkler(x, y)
 
 
+def place_similarity(a: str, b: str) -> float:
+    return sound_similarity(names.sound(a), names.sound(b))
+
+
 def _given(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for cols in batches:
         yield pd.Series([given_similarity(a, b, c, bool(d), e, f, g, bool(h)) for a, b, c, d, e, f, g, h in zip(*cols, strict=True)], dtype="float64")
@@ -179,14 +182,13 @@ def _given(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
 AGREE = "NOT (cls LIKE '=%' AND cls2 LIKE '=%' AND cls <> cls2 AND NOT short AND NOT short2)"
 
 
-def phonetic_codes(place: str) -> list[str]:
-    """Codes of a place, of which two spellings of one place share at least one.
+def phonetic_codes(s: str) -> list[str]:
+    """Codes of a place in coarse spelling (names.sound), of which two spellings of one place share at least one.
 
-    A code is the word in coarse spelling without its vowels, the first letter kept. It stands with up to two of its
-    letters left out, so two slips in the consonants, and any number in the vowels, leave a code in common; its
-    beginning stands with up to one left out, for stems of different length.
+    A code is the word without its vowels, the first letter kept. It stands with up to two of its letters left out, so
+    two slips in the consonants, and any number in the vowels, leave a code in common; its beginning stands with up to
+    one left out, for stems of different length.
     """
-    s = names.sound(place)
     k = s[:1] + "".join(c for c in s[1:] if c not in "aeiou")
     out = {k}
     for r in (1, 2):
@@ -200,23 +202,35 @@ def phonetic_codes(place: str) -> list[str]:
     return sorted(out)
 
 
+def _coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for words in batches:
+        sounds = words.map(names.sound)
+        yield pd.DataFrame({"sound": sounds, "codes": sounds.map(phonetic_codes)})
+
+
+def _like(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([sound_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def dealt(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df written and dealt out in parts of so many rows: adaptive execution goes by bytes and would leave slim rows with
+    much work on them to one task."""
+    df = checkpoint(df)
+    return df.repartition(max(1, math.ceil(df.count() / rows)))
+
+
 def near_places(df: DataFrame, least: float = 0.86) -> DataFrame:
     """(place, place2, p) of places of df, in both directions and with themselves, that place_similarity finds alike.
 
-    Distinct places meet in the blocks of their phonetic codes; each pair is judged once.
+    Distinct places meet in the blocks of their phonetic codes; a pair is judged once, if an edit distance that the
+    similarity can't do without allows it.
     """
     words = checkpoint(df.where("place <> ''").distinct())
-
-    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(phonetic_codes)
-
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([place_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    keyed = words.select("place", F.explode(F.pandas_udf(codes, "array<string>")("place")).alias("code"))
-    pairs = keyed.join(keyed.withColumnRenamed("place", "place2"), "code").where("place < place2").select("place", "place2").distinct()
-    found = checkpoint(pairs.withColumn("p", F.pandas_udf(judge, "double")("place", "place2")).where(F.col("p") >= least))
+    coded = checkpoint(words.withColumn("c", F.pandas_udf(_coded, "struct<sound:string,codes:array<string>>")("place")).select("place", "c.sound", F.explode("c.codes").alias("code")))
+    other = coded.select(F.col("place").alias("place2"), F.col("sound").alias("sound2"), "code")
+    pairs = coded.join(other, "code").where("place < place2 AND levenshtein(sound, sound2) <= greatest(4, 0.35 * greatest(length(sound), length(sound2)))")
+    pairs = dealt(pairs.select("place", "place2", "sound", "sound2").distinct())
+    found = checkpoint(pairs.withColumn("p", F.pandas_udf(_like, "double")("sound", "sound2")).where(F.col("p") >= least).select("place", "place2", "p"))
     back = found.select(F.col("place2").alias("place"), F.col("place").alias("place2"), "p")
     return checkpoint(found.union(back).union(words.select("place", F.col("place").alias("place2"), F.lit(1.0))))
