@@ -61,7 +61,7 @@ def _solve(spec: Spec, gram: np.ndarray, names: list[str]) -> _Solved:
     left = lambda a, b: gram[a, b] - gram[c, a] @ gamma[b]
     bottom = left(z, x)
     out.rank = int(np.linalg.matrix_rank(cc, tol=1e-9, hermitian=True)) + 1
-    if abs(bottom) < TINY:
+    if abs(bottom) < TINY or out.n - out.rank < 2:
         return out
     out.beta = float(left(z, y) / bottom)
     out.columns = c
@@ -70,7 +70,8 @@ def _solve(spec: Spec, gram: np.ndarray, names: list[str]) -> _Solved:
 
 
 def battery(df: DataFrame, specs: list[Spec]) -> DataFrame:
-    """(spec, term, beta, se, n, clusters), a row per specification; beta and se are NULL where the term is not identified.
+    """(spec, term, beta, se, n, clusters), a row per specification; beta and se are NULL where the term is not identified
+    or fewer than two degrees of freedom are left.
 
     Errors are clustered, G/(G-1) * (n-1)/(n-K). Rows with a NULL in any column that the specifications of a sample use
     are left out of that sample, so its specifications have the same rows. An empty sample gives n = 0.

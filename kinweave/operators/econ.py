@@ -311,6 +311,8 @@ def poisson(df: DataFrame, y: str, x: list[str], factors: list[str] | None = Non
         beta = np.linalg.pinv(g[:k, :k]) @ g[:k, k]
         if np.max(np.abs(beta - b0)) < tol:
             break
+    else:
+        raise RuntimeError(f"no convergence in {rounds} rounds")
     bread = np.linalg.pinv(g[:k, :k])
 
     def score(b: pd.DataFrame) -> np.ndarray:
@@ -378,49 +380,60 @@ def group_permutation(df: DataFrame, stratum: str, group: str, y: str, z: str, d
     return permutation_test(per, stratum, group, "y", "z", draws, seed)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well mixed 64-bit number of each, by the usual shifts and multiplications."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def wild_bootstrap(df: DataFrame, y: str, x: str, cluster: str, draws: int = 999, seed: int = 1, weights: str = "rademacher") -> DataFrame:
     """(draw, t): restricted wild cluster bootstrap of one residualised regressor (OP-212); draw 0 is the sample's t.
 
-    Under the null the statistic depends on the data through two sums per cluster, so draws run on the cluster table.
+    Under the null a draw depends on the data through three sums over clusters, weighted by signs that a hash of cluster
+    and draw gives; they are summed where the clusters are, so any number of clusters will do.
     """
     s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cluster).agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"))
-    n = s.limit(1_000_001).count()
-    if n > 1_000_000:
-        raise ValueError("more than a million clusters: normal errors are as good")
-    rows = s.orderBy(cluster).collect()
-    xy, xx = np.array([r["xy"] for r in rows], float), np.array([r["xx"] for r in rows], float)
-    sxx = xx.sum()
+    s = s.select(F.xxhash64(F.col(cluster), F.lit(seed)).alias("h"), F.col("xy").cast("double").alias("xy"), F.col("xx").cast("double").alias("xx"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         webb = np.array([-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)])
+        step = np.arange(draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        total = np.zeros((5, draws + 1))
         for b in batches:
-            out = []
-            for draw in b["id"]:
-                rng = np.random.default_rng([seed, int(draw)])
-                v = np.ones(len(xy)) if draw == 0 else rng.choice([-1.0, 1.0], len(xy)) if weights == "rademacher" else rng.choice(webb, len(xy))
-                sc = v * xy
-                beta = sc.sum() / sxx
-                u = sc - beta * xx
-                se = math.sqrt((u * u).sum()) / sxx
-                out.append((int(draw), beta / se if se > 0 else math.nan))
-            yield pd.DataFrame(out, columns=["draw", "t"])
-
-    return df.sparkSession.range(0, draws + 1).mapInPandas(run, "draw long, t double")
+            for k in range(0, len(b), 200):
+                part = b.iloc[k : k + 200]
+                h = part["h"].to_numpy().astype(np.uint64)
+                bits = _mixed(h[:, None] + step[None, :])
+                v = np.where(bits >> np.uint64(63), 1.0, -1.0) if weights == "rademacher" else webb[(bits % np.uint64(6)).astype(int)]
+                v[:, 0] = 1.0
+                xy, xx = part["xy"].to_numpy(), part["xx"].to_numpy()
+                total += np.stack([v.T @ xy, v.T @ (xy * xx), (v * v).T @ (xy * xy), np.full(draws + 1, (xx * xx).sum()), np.full(draws + 1, xx.sum())])
+        yield pd.DataFrame({"draw": np.arange(draws + 1), **{f"s{i}": total[i] for i in range(5)}})
+
+    sums = s.mapInPandas(run, "draw long, s0 double, s1 double, s2 double, s3 double, s4 double").groupBy("draw").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)])
+    beta = F.col("s0") / F.col("s4")
+    se = F.sqrt(F.col("s2") - 2 * beta * F.col("s1") + beta * beta * F.col("s3")) / F.col("s4")
+    return sums.where("s4 > 0").select("draw", F.when(se > 0, beta / se).otherwise(F.lit(float("nan"))).alias("t"))
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, y: str, x: str, draws: int, seed: int) -> DataFrame:
-    """(draw, stat): slope of y on x under resampled clusters (OP-215); clusters are weighted by Poisson counts of a hash,
-    so every draw is one aggregation of the cluster table."""
+    """(draw, stat): slope of y on x under resampled clusters (OP-215). Each draw takes as many clusters as there are, with
+    replacement; one drawn twice counts as two. Clusters are numbered in their order, a hash of draw and turn picks one."""
+    from kinweave.operators.relational import with_row_no
+
+    sums = ("n", "sx", "sy", "sxx", "sxy")
     s = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    d = s.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = (F.pmod(F.xxhash64(F.col(cluster), F.col("draw"), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    w, acc, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(8):
-        acc += p
-        w = w + (u > acc).cast("int")
-        p /= k + 1
-    d = d.withColumn("w", w)
-    t = d.groupBy("draw").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
+    s = with_row_no(s, [F.col(cluster)]).select(F.col("row_no").cast("long").alias("no"), *sums)
+    g = s.count()
+    if not g:
+        return df.sparkSession.createDataFrame([], "draw long, stat double")
+    turns = df.sparkSession.range(0, draws * g).select((F.floor(F.col("id") / g) + 1).alias("draw"), (F.col("id") % g).alias("turn"))
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col("turn"))), 1, 12), 16, 10).cast("long")
+    # how often a draw takes each cluster, before the clusters are joined
+    taken = turns.groupBy("draw", (mark % g).alias("no")).agg(F.count("*").alias("w"))
+    t = taken.join(s, "no").groupBy("draw").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
     return t.select("draw", ((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))).alias("stat"))
 
 

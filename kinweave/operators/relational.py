@@ -92,7 +92,8 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, sto
     p = p.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))))
     i = intervals.where(F.col(start).isNotNull() & F.col(stop).isNotNull() & (F.col(start) <= F.col(stop)))
     i = i.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
-    out = p.join(i, ["__bin", *on]).where((F.col(start) <= F.col("__hi")) & (F.col(stop) >= F.col("__lo")))
+    # bins that hold much of the points are split over several tasks
+    out = salted_join(p, i, ["__bin", *on]).where((F.col(start) <= F.col("__hi")) & (F.col(stop) >= F.col("__lo")))
     first = F.floor(F.greatest(F.col("__lo"), F.col(start)) / width)
     return out.where(F.col("__bin") == first).drop("__bin", "__lo", "__hi")
 
@@ -214,16 +215,24 @@ def locate(anchors: DataFrame, persons: DataFrame, name: str) -> DataFrame:
 
 
 def null_pairs(dyads: DataFrame, persons: DataFrame, k: int, seed: int, year: str = "year") -> DataFrame:
-    """(dyad_id, a, b): k pairs of persons alive in the year of each dyad, drawn by hash (OP-097).
+    """(dyad_id, draw, a, b): k pairs of different persons alive in the year of each dyad, drawn by hash (OP-097).
 
-    Two persons per draw are the nearest in hash order to the draw's mark, out of those alive at the year; candidates
-    come from the binned range join and are ranked within their dyad and draw.
+    The living of each year are numbered once, in buckets of a hash, so no year is sorted in one task; a draw picks two
+    numbers and looks them up. Dyads whose year has fewer than two living persons give no pair.
     """
-    draws = dyads.select("dyad_id", year).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    cand = alive_at(draws, persons.select("id", "birth", "death"), year)
-    mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("dyad_id"), F.col("draw"), F.col("id")))
-    ranked = cand.withColumn("r", F.row_number().over(W.partitionBy("dyad_id", "draw").orderBy(mark))).where("r <= 2")
-    return ranked.groupBy("dyad_id", "draw").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("n = 2").drop("n")
+    alive = alive_at(dyads.select(year).distinct(), persons.select("id", "birth", "death"), year).select(year, "id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(256)).alias("part"))
+    alive = checkpoint(alive.withColumn("r", F.row_number().over(W.partitionBy(year, "part").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("id"))), "id"))))
+    sizes = alive.groupBy(year, "part").agg(F.count("*").alias("m"))
+    w = W.partitionBy(year)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("m").over(w.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("m").over(w))
+    numbered = checkpoint(alive.join(starts, [year, "part"]).select(year, "id", (F.col("start") + F.col("r") - 1).alias("no")))
+    draws = dyads.select("dyad_id", year).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(starts.select(year, "n").distinct(), year).where("n >= 2")
+    mark = lambda side: F.xxhash64(F.lit(seed), F.col("dyad_id"), F.col("draw"), F.lit(side))
+    draws = draws.withColumn("i", F.pmod(mark(0), F.col("n"))).withColumn("j", F.pmod(mark(1), F.col("n") - 1))
+    draws = draws.withColumn("j", F.col("j") + (F.col("j") >= F.col("i")).cast("int"))  # never the first one again
+    of = lambda no, name: numbered.select(year, F.col("no").alias(no), F.col("id").alias(name))
+    both = draws.join(of("i", "x"), [year, "i"]).join(of("j", "y"), [year, "j"])
+    return both.select("dyad_id", "draw", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def pending(inputs: DataFrame, outputs: DataFrame, on: str, n: int | None = None) -> DataFrame:

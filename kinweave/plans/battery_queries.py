@@ -113,7 +113,7 @@ def battery_sql(specs: list[Spec]) -> str:
     ctes, rows = "", []
     for i, s in enumerate(specs):
         own, last, _ = _left_sql(i, s)
-        ctes += own + f", V{i} AS (SELECT CASE WHEN abs(sum(z * x)) > 1e-6 THEN sum(z * y) / sum(z * x) END AS b, sum(z * x) AS w, count(*) AS n, count(DISTINCT fe) + coalesce(max(r), 0) + 1 AS k FROM {last}), U{i} AS (SELECT g, sum(z * (y - b * x)) / any_value(w) AS v FROM {last}, V{i} WHERE b IS NOT NULL GROUP BY 1), T{i} AS (SELECT count(*) AS g, sum(v * v) AS q FROM U{i})"
+        ctes += own + f", V{i} AS (SELECT CASE WHEN abs(sum(z * x)) > 1e-6 AND count(*) - (count(DISTINCT fe) + coalesce(max(r), 0) + 1) >= 2 THEN sum(z * y) / sum(z * x) END AS b, sum(z * x) AS w, count(*) AS n, count(DISTINCT fe) + coalesce(max(r), 0) + 1 AS k FROM {last}), U{i} AS (SELECT g, sum(z * (y - b * x)) / any_value(w) AS v FROM {last}, V{i} WHERE b IS NOT NULL GROUP BY 1), T{i} AS (SELECT count(*) AS g, sum(v * v) AS q FROM U{i})"
         rows.append(f"SELECT '{s.name}' AS spec, '{s.term}' AS term, round(b, 6) AS beta, CASE WHEN g > 1 AND n > k THEN round(sqrt(q * g / (g - 1.0) * (n - 1.0) / (n - k)), 6) END AS se, n, CASE WHEN b IS NOT NULL THEN g END AS clusters FROM V{i}, T{i}")
     return FRAME + ctes + "\n" + "\nUNION ALL ".join(rows)
 
@@ -160,7 +160,7 @@ _register("op_223_band_battery", "Peers of the near and the far band against eac
     "near": {"term": "z12", "controls": ("z34", "reach", *BASE)}, "far": {"term": "z34", "controls": ("z12", "reach", *BASE)}, "size": {"term": "z34", "controls": ("z12", "reach", "near", "far", *BASE)},
     "family": {"term": "z34", "controls": ("z12", "reach", "mother_reach", "father_reach", *BASE)}, "share": {"term": "z34", "controls": ("z12", "reach", "share", *BASE)}, "matchable": {"term": "z34", "controls": ("z12", "reach", *BASE), "sample": "n_matchable > 0"},
     "band 2-4": {"term": "z24", "controls": ("z12", "reach", *BASE)}, "weighted": {"term": "zw", "controls": ("reach", *BASE)}, "sum": {"term": "zsum", "controls": ("reach", *BASE)}, "sum and size": {"term": "zsum", "controls": ("reach", "size", *BASE)},
-    "exposure": {"term": "z34", "controls": ("z12", "reach", "years", *BASE)}, "no reach": {"term": "z34", "controls": ("z12", *BASE)}, "no house": {"term": "z34", "controls": ("z12", "reach", *BASE), "factors": ()}, "mothers known": {"term": "z34", "controls": ("z12", "reach", *BASE), "sample": "mother_docs > 0"},
+    "exposure": {"term": "z34", "controls": ("z12", "reach", "years", *BASE)}, "no reach": {"term": "z34", "controls": ("z12", *BASE)}, "no house": {"term": "z34", "controls": ("z12", "reach", *BASE), "factors": ()}, "fathers known": {"term": "z34", "controls": ("z12", "reach", *BASE), "sample": "father_size > 0"},
 }, ("early", "late")))
 _register("op_224_control_variants", "Instrumented reach with exposure, with a control that the reach itself moves, with ambient peers, and for persons with letters only (OP-224).", _grid({
     "headline": IV, "exposure": IV | {"controls": ("years", *BASE)}, "bad control": IV | {"controls": ("size", *BASE)}, "ambient": IV | {"controls": ("zb", *BASE)}, "ambient both": IV | {"controls": ("zb", "zd", *BASE)}, "principals": IV | {"sample": "y > 0"},

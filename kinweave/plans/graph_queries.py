@@ -461,6 +461,13 @@ def op_213_permutation_999(spark, sf):
     return econ.permutation_test(d, "c_nationkey", "c_custkey", "c_acctbal", "z", 999, 9).select("draw", F.round("stat", 2).alias("stat"))
 
 
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY l_suppkey) - 1 AS no, count(*) OVER () AS g, * FROM (SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS sx, sum(ln(1 + l_extendedprice)) AS sy, sum(l_quantity * l_quantity) AS sxx, sum(l_quantity * ln(1 + l_extendedprice)) AS sxy FROM lineitem GROUP BY 1)),
+d AS (SELECT draw, turn, CAST('0x' || substr(md5('3|' || draw || '|' || turn), 1, 12) AS BIGINT) % (SELECT max(g) FROM s) AS no FROM (SELECT range + 1 AS draw FROM range(20)), (SELECT no AS turn FROM s)),
+t AS (SELECT draw, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM d JOIN s USING (no) GROUP BY 1) SELECT draw, round((n * sxy - sx * sy) / (n * sxx - sx * sx), 6) AS stat FROM t""")
+def op_215_cluster_draws(spark, sf):
+    return r6(econ.cluster_bootstrap(_reg(spark, sf), "l_suppkey", "y", "x", 20, 3))
+
+
 @query()
 def op_215_cluster_bootstrap(spark, sf):
     d = econ.cluster_bootstrap(_reg(spark, sf), "l_suppkey", "y", "x", 200, 3)
