@@ -81,3 +81,23 @@ def test_hot_bin_of_a_range_join(spark):
     assert got == want
     small = relational.salted_join(points.withColumnRenamed("at", "lo"), spans, ["lo"], rows_per_task=10)
     assert small.count() == points.withColumnRenamed("at", "lo").join(spans, "lo").count()
+
+
+def test_factor_of_more_levels_than_a_design_holds(spark):
+    """4,000 houses, two persons each, two controls of which one is constant within the houses."""
+    rng = np.random.default_rng(8)
+    n = 8_000
+    g = np.arange(n) // 2
+    z, w, c = rng.normal(size=n), rng.normal(size=n), (g % 7).astype(float)
+    x = z + w + rng.normal(size=n)
+    y = 2 * x - w + (g % 5) + rng.normal(size=n)
+    df = spark.createDataFrame([(*map(float, r[:5]), f"g{r[5]}") for r in zip(y, x, z, w, c, g, strict=True)], "y double, x double, z double, w double, c double, g string")
+    got = battery(df, [Spec("iv", "y", "x", ("w", "c"), ("g",), "g", "z")]).first()
+    within = lambda v: v - (np.bincount(g, v) / 2)[g]
+    y, x, z, w = map(within, (y, x, z, w))
+    left = lambda v: v - w * (w @ v) / (w @ w)
+    beta = left(z) @ left(y) / (left(z) @ left(x))
+    per = np.bincount(g, left(z) * (left(y) - beta * left(x)) / (left(z) @ left(x)))
+    se = np.sqrt((per**2).sum() * 4000 / 3999 * (n - 1) / (n - 4002))
+    assert got["n"] == n and got["clusters"] == 4000
+    assert got["beta"] == pytest.approx(beta, rel=1e-8) and got["se"] == pytest.approx(se, rel=1e-8)
