@@ -194,11 +194,19 @@ INTER += f""", S AS (SELECT sum(mother_reach * reach) AS a, sum(mother_reach * r
 SELECT 'reach' AS term, round((d * e - b * f) / (a * d - b * c), 5) AS beta, n FROM S UNION ALL SELECT 'reach_early', round((a * f - c * e) / (a * d - b * c), 5), n FROM S"""
 
 
+def _demeaned(d: DataFrame, cols: list[str], factor: str) -> DataFrame:
+    """Complete rows of d with the columns less their means over a factor of any number of levels."""
+    own = econ.complete(d, [*cols, factor]).select("id", factor, *cols)
+    return econ.within(own, cols, [factor]).select("id", factor, *[F.col(c + "_dm").alias(c) for c in cols])
+
+
 @query(INTER)
 def op_227_interaction(spark, sf):
     """Instrumented reach and its product with the era, with both instruments (OP-204, OP-227)."""
     d = frame(spark, sf).withColumn("reach_early", F.col("reach") * F.col("early")).withColumn("mother_early", F.col("mother_reach") * F.col("early"))
-    f = econ.iv(d, "y", ["reach", "reach_early"], ["mother_reach", "mother_early"], ["early", *BASE], ["label"], ["label"])
+    # houses are absorbed: a column of the design for each would make cross-products that grow with their square
+    d = _demeaned(d, ["y", "reach", "reach_early", "mother_reach", "mother_early", "early", *BASE], "label")
+    f = econ.iv(d, "y", ["reach", "reach_early"], ["mother_reach", "mother_early"], ["early", *BASE])
     return spark.createDataFrame([(t, round(float(f.row(t)["beta"]), 5), f.n) for t in ("reach", "reach_early")], "term string, beta double, n long")
 
 

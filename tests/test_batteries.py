@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import community, econ, relational
 from kinweave.operators.battery import Spec, battery
+from kinweave.plans import battery_queries
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,29 @@ def test_factor_of_more_levels_than_a_design_holds(spark):
     se = np.sqrt((per**2).sum() * 4000 / 3999 * (n - 1) / (n - 4002))
     assert got["n"] == n and got["clusters"] == 4000
     assert got["beta"] == pytest.approx(beta, rel=1e-8) and got["se"] == pytest.approx(se, rel=1e-8)
+
+
+@pytest.fixture(scope="module")
+def houses(spark):
+    """4,000 houses of two persons: the frame of the queries that absorb them."""
+    cols = ["y", "reach", "mother_reach", *battery_queries.BASE]
+    x = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000).alias(c) for i, c in enumerate(cols)]
+    return spark.range(8_000).select("id", F.concat(F.lit("g"), F.floor(F.col("id") / 2)).alias("label"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("early"), *x).localCheckpoint()
+
+
+def _left(rows, names):
+    """Columns without their house's means and the controls."""
+    of = lambda c: np.array([float(r[c]) for r in rows])
+    g = np.array([int(r["label"][1:]) for r in rows])
+    within = lambda v: v - (np.bincount(g, v) / 2)[g]
+    c = np.column_stack([within(of(x)) for x in names])
+    return of, g, lambda v: (w := within(v)) - c @ np.linalg.lstsq(c, w, rcond=None)[0]
+
+
+def test_interaction_with_many_houses(spark, houses, monkeypatch):
+    monkeypatch.setattr(battery_queries, "frame", lambda *_: houses)
+    got = {r["term"]: r["beta"] for r in battery_queries.op_227_interaction(spark, "").collect()}
+    of, _, left = _left(houses.collect(), ("early", *battery_queries.BASE))
+    x, z = (np.column_stack([left(of(c)), left(of(c) * of("early"))]) for c in ("reach", "mother_reach"))
+    want = np.linalg.solve(z.T @ x, z.T @ left(of("y")))
+    assert [got["reach"], got["reach_early"]] == pytest.approx(list(want), abs=1e-5)
