@@ -241,7 +241,7 @@ _LEV = Spec("lev", "y", "reach", BASE, HOUSE, instrument="mother_reach")
 @query(FRAME + _left_sql(0, _LEV)[0] + f" SELECT g AS label, round(sum(z * z) / (SELECT sum(z * z) FROM {_left_sql(0, _LEV)[1]}), 6) AS share FROM {_left_sql(0, _LEV)[1]} GROUP BY 1")
 def op_230_leverage(spark, sf):
     """Each house's share of the squared instrument that is left after factor and controls (OP-230)."""
-    res = econ.residualize(frame(spark, sf), ["mother_reach"], list(BASE), ["label"])
+    res = econ.residualize(_demeaned(frame(spark, sf), ["mother_reach", *BASE], "label"), ["mother_reach"], list(BASE), [])
     per = res.groupBy("label").agg(F.sum(F.col("mother_reach_res") * F.col("mother_reach_res")).alias("v"))
     return r6(per.crossJoin(per.agg(F.sum("v").alias("t"))).select("label", (F.col("v") / F.col("t")).alias("share")))  # one row
 

@@ -128,3 +128,11 @@ def test_interaction_with_many_houses(spark, houses, monkeypatch):
     x, z = (np.column_stack([left(of(c)), left(of(c) * of("early"))]) for c in ("reach", "mother_reach"))
     want = np.linalg.solve(z.T @ x, z.T @ left(of("y")))
     assert [got["reach"], got["reach_early"]] == pytest.approx(list(want), abs=1e-5)
+
+
+def test_leverage_with_many_houses(spark, houses, monkeypatch):
+    monkeypatch.setattr(battery_queries, "frame", lambda *_: houses)
+    got = {r["label"]: r["share"] for r in battery_queries.op_230_leverage(spark, "").collect()}
+    of, g, left = _left(houses.collect(), battery_queries.BASE)
+    per = np.bincount(g, left(of("mother_reach")) ** 2)
+    assert len(got) == 4000 and [got[f"g{k}"] for k in range(4000)] == pytest.approx(list(per / per.sum()), abs=1e-6)
