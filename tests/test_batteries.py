@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,17 @@ def test_leverage_with_many_houses(spark, houses, monkeypatch):
     of, g, left = _left(houses.collect(), battery_queries.BASE)
     per = np.bincount(g, left(of("mother_reach")) ** 2)
     assert len(got) == 4000 and [got[f"g{k}"] for k in range(4000)] == pytest.approx(list(per / per.sum()), abs=1e-6)
+
+
+def test_permutations_without_a_row_for_each_draw(spark):
+    """The order within a cell is that of the hashes of seed, draw and key; keys may be NULL or empty."""
+    rows = [(f"c{i % 3}", None if i == 4 else "" if i == 7 else f"k{i * 7 % 40:02}", float(i), float(i % 5)) for i in range(40)] + [("c0", "x", None, 1.0)]
+    df = spark.createDataFrame(rows, "cell string, key string, y double, z double")
+    test = econ.permutation_test(df, "cell", "key", "y", "z", 20, 9)
+    want = {}
+    for d in range(21):
+        mark = lambda r, d=d: hashlib.md5("|".join(str(x) for x in (9, d, r[1]) if x is not None).encode()).hexdigest() if d else ""
+        of = [sorted((r for r in rows if r[0] == f"c{k}" and r[2] is not None), key=lambda r: (r[1] is not None, r[1] or "")) for k in range(3)]
+        want[d] = sum(a[3] * b[2] for c in of for a, b in zip(c, sorted(c, key=mark), strict=True))
+    assert {r["draw"]: r["stat"] for r in test.collect()} == pytest.approx(want)
+    assert "Window" not in test._jdf.queryExecution().toString()
