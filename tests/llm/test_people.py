@@ -197,3 +197,9 @@ def test_slip_in_the_first_letter(spark):
     assert people.given_similarity("armannus", "armann", "armannus", False, "hermannus", "ermann", "hermannus", False) >= 0.86
     assert {r["match_id"] for r in linkage.link(quotes, persons).where("accepted").collect()} == {"q1", "q2"}
     assert [tuple(r) for r in variants.variant_pairs(persons, quotes).collect()] == [("q1", "q2")]
+
+
+def test_parts_are_bounded_by_the_cores(spark):
+    """The driver keeps an entry for each pair of parts; with a part for so many rows there would be 5,000."""
+    got = people.dealt(spark.range(5_000), rows=1)
+    assert got.rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism and got.distinct().count() == 5_000
