@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators import community, econ, graph
+from kinweave.operators import community, econ, graph, relational
 from kinweave.operators.battery import Spec, battery, control_string
 from kinweave.operators.components import connected_components
 from kinweave.plans.graph_queries import BALL, KIN, Kin, ball
@@ -37,18 +37,21 @@ def query(sql: str | None = None):
 # ---- the frame
 
 
-def frame(spark, sf: str, labels: DataFrame | None = None, around: DataFrame | None = None) -> DataFrame:
-    """One row per labelled, dated man whose life meets the window and whose mother's reach is known (OP-079b): own and
-    ancestors' reach and size in the gated neighbourhood of four links, bands, peers, letters by subject, dates. labels
-    (id, label) and around (the neighbourhoods) may be given by the caller."""
-    k = Kin(spark, sf)
-    k.labels = k.labels if labels is None else labels
-    around = ball(k, 4) if around is None else around
+def _people(spark, sf: str, k: Kin) -> DataFrame:
+    """Persons with label, letters and whether letters could be matched with them."""
     codes = table(spark, sf, "matched_docs_coded").where("domain IS NOT NULL").groupBy("doc_id").agg(F.min(F.expr(CODE.format(g=""))).alias("code"))
     found = table(spark, sf, "doc_matches_ai_extracted_high").where(F.col("doc_year").between(LO, HI) & F.col("person_id").isNotNull()).select("match_id", "doc_id", "person_id").distinct()
     docs = found.join(codes, "doc_id", "left").groupBy(F.col("person_id").alias("id")).agg(F.count_distinct("match_id").alias("n"), F.count_distinct(F.when(F.col("code") == "secular_territorial", F.col("match_id"))).alias("n_secular"))
     people = k.persons.join(k.labels, "id", "left").join(docs, "id", "left").withColumn("y", F.log1p(F.coalesce("n", F.lit(0)))).withColumn("matchable", F.coalesce(F.expr(f"label IS NOT NULL AND {UNIVERSE}"), F.lit(False)))
-    people = checkpoint(people)
+    return checkpoint(people)
+
+
+def frame(spark, sf: str) -> DataFrame:
+    """One row per labelled, dated man whose life meets the window and whose mother's reach is known (OP-079b): own and
+    ancestors' reach and size in the gated neighbourhood of four links, bands, peers, letters by subject, dates."""
+    k = Kin(spark, sf)
+    around = ball(k, 4)
+    people = _people(spark, sf, k)
     nodes = around.select("seed", "node", "depth").join(people.select(F.col("id").alias("node"), "label", "y", "matchable"), "node")
     near, peer = F.col("depth").between(1, 2), F.col("depth") >= 1
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -246,20 +249,48 @@ def op_230_leverage(spark, sf):
     return r6(per.crossJoin(per.agg(F.sum("v").alias("t"))).select("label", (F.col("v") / F.col("t")).alias("share")))  # one row
 
 
+ANCESTORS = ("mother", "father", "mgf")
+
+
+def _reach_by_draw(met: DataFrame, part: DataFrame, seeds: list[int]) -> DataFrame:
+    """(draw, seed, reach): how many communities each seed's neighbourhood meets, from the houses (seed, label) in it."""
+    drawn = met.where("label IS NOT NULL").select("seed", "label", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("draw")).join(part, ["draw", "label"], "left")
+    return drawn.groupBy("draw", "seed").agg(F.count_distinct(F.coalesce("community", "label")).cast("double").alias("reach"))
+
+
+def drawn_frame(spark, sf: str, k: Kin, part: DataFrame, seeds: list[int]) -> DataFrame:
+    """The rows of frame for each draw, houses merged by part (draw, label, community), with the columns of the headline.
+
+    Neighbourhoods, letters and sizes don't depend on the draw; they are made once, for the men and their ancestors."""
+    people = _people(spark, sf, k)
+    dated = people.where("birth IS NOT NULL").select(F.col("id").alias("mother_id"))
+    men = checkpoint(people.where(SAMPLE).where("label IS NOT NULL").select("id", "label", "y", F.floor(F.col("death") / 10).cast("double").alias("death_dec")).join(k.kin.withColumnRenamed("child_id", "id"), "id").join(dated, "mother_id", "left_semi"))
+    used = men.select(F.explode(F.array("id", *[f"{who}_id" for who in ANCESTORS])).alias("id")).distinct()
+    starts = k.persons.where("birth IS NOT NULL").join(used, "id", "left_semi")
+    around = graph.gated_ball(graph.plain_seeds(starts, "id", F.col("birth")), k.adj, k.births, 4)
+    met = checkpoint(around.join(k.labels.withColumnRenamed("id", "node"), "node", "left").groupBy("seed", "label").agg(F.count_if(F.col("depth") >= 1).alias("n")))
+    sizes = checkpoint(met.groupBy("seed").agg(F.log1p(F.sum("n")).alias("size")))
+    reach = checkpoint(_reach_by_draw(met, part, seeds))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    for who in ANCESTORS:
+        own = sizes.join(people.select(F.col("id").alias("seed"), F.col("y").alias("docs")), "seed", "full").select(F.col("seed").alias(f"{who}_id"), F.col("size").alias(f"{who}_size"), F.col("docs").alias(f"{who}_docs"))
+        men = relational.spread_left_join(men, own, [f"{who}_id"], "id")
+    d = men.withColumn("draw", F.explode(F.array(*[F.lit(s) for s in seeds]))).join(part, ["draw", "label"], "left").withColumn("label", F.coalesce("community", "label"))
+    d = d.join(reach.withColumnRenamed("seed", "id"), ["draw", "id"], "left")
+    for who in ANCESTORS:
+        d = relational.spread_left_join(d, reach.select("draw", F.col("seed").alias(f"{who}_id"), F.col("reach").alias(f"{who}_reach")), ["draw", f"{who}_id"], "id")
+    fill = ["reach", *[f"{who}_{c}" for who in ANCESTORS for c in ("reach", "size", "docs")]]
+    return checkpoint(d.select("draw", "id", "label", "y", "death_dec", *[zero(F.col(c)).alias(c) for c in fill]))
+
+
 @query()
 def op_231_seed_sweep(spark, sf, seeds: int = 3):
-    """Houses merged into communities drawn anew for each seed, features rebuilt with them, the headline refitted (OP-231).
-
-    The graph of houses is small against the persons (it is counted before it is fetched); neighbourhoods are made once.
-    """
-    k = Kin(spark, sf)
-    around = ball(k, 4)
-    edges = community._collect_small(graph.quotient_graph(k.spouses, k.labels), 50_000)
-    out = None
-    for seed in range(seeds):
-        part = spark.createDataFrame([(a, str(b)) for a, b in community.louvain(edges, seed).items()], "label string, community string")
-        drawn = checkpoint(k.labels.join(part, "label", "left").select("id", F.coalesce("community", "label").alias("label")))
-        fit = battery(frame(spark, sf, drawn, around), [Spec(f"seed {seed}", "y", "reach", BASE, HOUSE, instrument="mother_reach")])
-        fit = fit.crossJoin(drawn.agg(F.count_distinct("label").alias("n_labels")))  # one row each
-        out = fit if out is None else out.unionByName(fit)
-    return r6(out)
+    """Houses merged into communities drawn anew for each seed, features rebuilt with them, the headline refitted (OP-231)."""
+    k, draws = Kin(spark, sf), list(range(seeds))
+    drawn = community.louvain_draws(graph.quotient_graph(k.spouses, k.labels), draws)
+    part = checkpoint(drawn.select("draw", F.col("id").alias("label"), F.col("label").alias("community")))
+    fit = battery(drawn_frame(spark, sf, k, part, draws), [Spec(f"seed {s}", "y", "reach", BASE, HOUSE, instrument="mother_reach", sample=f"draw = {s}") for s in draws])
+    # houses that married no other stay as they are
+    gone = part.groupBy("draw").agg((F.count("*") - F.count_distinct("community")).alias("gone")).select(F.concat(F.lit("seed "), "draw").alias("spec"), "gone")
+    fit = fit.join(gone, "spec", "left").crossJoin(k.labels.agg(F.count_distinct("label").alias("houses")))  # one row
+    return r6(fit.select("spec", "term", "beta", "se", "n", "clusters", (F.col("houses") - F.coalesce("gone", F.lit(0))).alias("n_labels")))

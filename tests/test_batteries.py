@@ -152,3 +152,41 @@ def test_permutations_without_a_row_for_each_draw(spark):
         want[d] = sum(a[3] * b[2] for c in of for a, b in zip(c, sorted(c, key=mark), strict=True))
     assert {r["draw"]: r["stat"] for r in test.collect()} == pytest.approx(want)
     assert "Window" not in test._jdf.queryExecution().toString()
+
+
+def test_draws_by_component(spark):
+    """Each component is a run of Louvain's with the weight of the whole graph; the order of the rows has no effect."""
+    ring = [(f"{g}{i}", f"{g}{(i + 1) % 9}", 1.0 + (i % 3 == 0)) for g in "ab" for i in range(9)]
+    got = {d: {} for d in (0, 7)}
+    for rows, parts in ((ring, 1), (ring[::-1], 3)):
+        for r in community.louvain_draws(spark.createDataFrame(rows, "a string, b string, w double").repartition(parts), [0, 7]).collect():
+            assert got[r["draw"]].setdefault(r["id"], r["label"]) == r["label"]
+    for d, part in got.items():
+        want = [community.louvain(sorted(e for e in ring if e[0][0] == g), f"{d} {g}0", 1.0, 2 * sum(e[2] for e in ring)) for g in "ab"]
+        assert part == want[0] | want[1]
+    assert community.louvain_draws(spark.createDataFrame([], "a string, b string, w double"), [0]).isEmpty()
+
+
+def test_seed_sweep_with_many_houses(spark, tmp_path, monkeypatch):
+    """60,000 houses that marry in pairs, 8,000 sons of theirs: more than one process or one design was to hold."""
+    n, sons = 60_000, 8_000
+    p, m = spark.range(n), spark.range(sons)
+    man = m.selectExpr("concat('m', id) AS id", "'M' AS sex", "1200 AS birth", "1240 AS death")
+    pair = p.selectExpr("concat('p', id) AS id", "'F' AS sex", "CAST(if(id % 2 = 0, 1150, 1140) AS INT) AS birth", "1180 AS death")
+    tables = {
+        "persons_imputed": man.union(pair), "parent_pairs": m.selectExpr("concat('p', id) AS parent_id", "concat('m', id) AS child_id"),
+        "spouse_pairs": p.where("id % 2 = 0").selectExpr("concat('p', id) AS a", "concat('p', id + 1) AS b"),
+        "dynasty_labels": p.selectExpr("concat('p', id) AS id", "concat('H', id) AS dynasty").union(m.selectExpr("concat('m', id)", f"concat('H', {sons} + id)")),
+        "doc_matches_ai_extracted_high": spark.createDataFrame([("x", "d", 1230, "m1")], "match_id string, doc_id string, doc_year int, person_id string"),
+        "matched_docs_coded": spark.createDataFrame([("d", "other")], "doc_id string, domain string"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    frames = []
+    monkeypatch.setattr(battery_queries, "battery", lambda d, specs: frames.append(d) or battery(d, specs))
+    got = battery_queries.op_231_seed_sweep(spark, str(tmp_path), 2).collect()
+    assert {(r["spec"], r["n"], r["n_labels"]) for r in got} == {("seed 0", sons, n // 2), ("seed 1", sons, n // 2)}
+    # a son's mother and her spouse are of one community, he of another
+    rows = frames[0].groupBy("draw", "reach", "mother_reach", "father_reach", "mother_size").agg(F.count("*").alias("k"), F.count_distinct("label").alias("labels")).collect()
+    assert {(r["draw"], r["reach"], r["mother_reach"], r["father_reach"], r["k"], r["labels"]) for r in rows if r["mother_size"] > 0} == {(d, 2.0, 1.0, 0.0, sons // 2, sons // 2) for d in (0, 1)}
+    assert sum(r["k"] for r in rows) == 2 * sons
